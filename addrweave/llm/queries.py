@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .language import language_id
 from .licenses import license_scan
+from .neardup import near_duplicates
 from .toxicity import toxicity
 
 
@@ -29,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
