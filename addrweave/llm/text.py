@@ -28,6 +28,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: A fixed permutation of the bytes, for a second hash of the same span.
+SHUFFLED = np.random.default_rng(5).permutation(256).astype(np.uint8)
+
 
 def blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
     """Runs of rows of the batches, each with texts of about ``size`` bytes."""
