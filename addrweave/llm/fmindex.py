@@ -25,8 +25,14 @@ from .repeats import covered, keyed, marked
 GRAM = 4
 
 
-def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` symbols, and each one's rank."""
+def sorted_suffixes(symbols: np.ndarray, depth: int, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` symbols, and each one's rank.
+
+    With ``stop``, what follows the next symbol 0 is not compared.
+    """
+    if stop:
+        ends = np.flatnonzero(symbols == 0)
+        left = ends[np.searchsorted(ends, np.arange(len(symbols)))] - np.arange(len(symbols)) + 1
     rank = symbols.astype(np.int64)
     have = 1
     n = len(rank)
@@ -34,6 +40,8 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     while have < depth:
         nxt = np.zeros(n, np.int64)
         nxt[: n - have] = rank[have:] + 1
+        if stop:
+            nxt[left <= have] = 0
         key = rank * (int(rank.max()) + 2) + nxt
         order = np.argsort(key, kind="stable")
         new = np.ones(n, np.int64)

@@ -10,6 +10,7 @@ from .fmindex import substring_dedup
 from .language import language_id
 from .licenses import license_scan
 from .neardup import near_duplicates
+from .pfp import byte_dedup
 from .toxicity import toxicity
 
 
@@ -37,6 +38,11 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_substrings": op4_substrings,
+    "op6_suffix_array": op6_suffix_array,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
