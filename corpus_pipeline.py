@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The smallest document of each group of near copies (5-word shingles, 0.8)."""
     judged = near_duplicates(docs, shingle=5, similarity=0.8)
     dropped = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
