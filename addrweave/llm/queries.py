@@ -12,6 +12,7 @@ from .language import language_id
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .pfp import byte_dedup
+from .rptrees import nearest
 from .toxicity import toxicity
 
 
@@ -48,6 +49,10 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_substrings": op4_substrings,
     "op6_suffix_array": op6_suffix_array,
+    "op7_neighbours": op7_neighbours,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
