@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .fmindex import substring_dedup
 from .language import language_id
 from .licenses import license_scan
+from .mixing import score_text
 from .neardup import near_duplicates
 from .pfp import byte_dedup
 from .rptrees import nearest
@@ -44,6 +45,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_text(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_substrings": op4_substrings,
+    "op5_language_model": op5_language_model,
     "op6_suffix_array": op6_suffix_array,
     "op7_neighbours": op7_neighbours,
     "op8_near_duplicates": op8_near_duplicates,
