@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import text
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators read, whatever else the table holds."""
@@ -45,11 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table that several later jobs read, and read it back.
 
     It is kept in the shared folder, so a lost executor costs no recomputation,
-    and the plans of iterative jobs stay short.
+    and the plans of iterative jobs stay short.  The job's shuffle files go when
+    it ends, so the disk holds those of one job at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

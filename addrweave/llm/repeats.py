@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import stored
+from .common import discard, stored
 
 HOT = 4000
-SHARD_SYMBOLS = 1_500_000
+SHARD_SYMBOLS = 400_000
 LAST = (1 << 63) - 1
 
 
@@ -88,22 +88,23 @@ def _runs(unit: str, body: pa.Array, window: int, gram: int):
 
 
 def runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
+    """m (minimizer), fp (of the text) and at (first window << 31 | windows) of every run."""
+
     def run(batches):
         for block in text.blocks(batches, "__body"):
             m, row, start, n = _runs(unit, block.column("__body"), window, gram)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), block.column("__doc").take(take), block.column("__fp").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "doc", "fp", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), block.column("__fp").take(take), pa.array(start << 31 | n)], ["m", "fp", "at"])
 
-    return docs.select("__doc", "__fp", "__body").mapInArrow(run, "m long, doc long, fp long, start int, n int")
+    return docs.select("__fp", "__body").mapInArrow(run, "m long, fp long, at long")
 
 
 def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """Runs of shared minimizers with their symbols' bytes and a 128-bit digest of these."""
     every = runs(docs, unit, window, gram)
     shared = every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("count")).where("low < high").select("m", (F.col("count") > HOT).alias("hot"))
-    met = every.join(shared, "m").select("m", "doc", "fp", "hot", "start", "n")
-    lists = met.groupBy("doc", "fp").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("runs"))
-    texts = docs.select("__doc", "__fp", "__body").join(lists, (F.col("__doc") == F.col("doc")) & (F.col("__fp") == F.col("fp")))
+    met = every.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at", "hot")).alias("runs"))
+    texts = docs.select("__doc", "__fp", "__body").join(stored(met), F.col("__fp") == F.col("fp"))
 
     def cut(batches):
         for block in text.blocks(batches, "__body"):
@@ -113,7 +114,8 @@ def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
                 lists = pa.concat_arrays([lists])
             flat = lists.flatten()
             counts = np.diff(lists.offsets.to_numpy())
-            m, start, n, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            m, place, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            start, n = place >> 31, place & 0x7FFFFFFF
             row = np.repeat(np.arange(block.num_rows), counts)
             times = np.where(hot, n, 1)  # a hot run: one segment a window
             row, m, hot = np.repeat(row, times), np.repeat(m, times), np.repeat(hot, times)
@@ -151,8 +153,7 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
     doc_id of each of its windows.  ``docs`` comes from ``keyed``.
     """
     made = stored(segments(docs, unit, window, gram))
-    folded = made.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.min("content").alias("content"))
-    folded = stored(folded)
+    folded = stored(made.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.min("content").alias("content")))
     total = folded.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, total // (SHARD_SYMBOLS * (6 if unit == "word" else 1)) + 1)
 
@@ -161,11 +162,13 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
         lists = lowest(contents.chunk(0) if isinstance(contents, pa.ChunkedArray) else contents, table.column("doc").to_numpy())
         return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": lists})
 
-    answers = folded.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard").groupBy("shard").applyInArrow(index, "s1 long, s2 long, low array<long>")
+    answers = stored(folded.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard").groupBy("shard").applyInArrow(index, "s1 long, s2 long, low array<long>"))
     at = made.select("s1", "s2", "doc", "fp", "start").join(answers.dropDuplicates(["s1", "s2"]), ["s1", "s2"])
     found = F.filter(F.transform("low", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = at.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), found.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    out = stored(hits.groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    discard(made, folded, answers)
+    return out
 
 
 def copies(docs: DataFrame) -> DataFrame:
