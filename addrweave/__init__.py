@@ -1,0 +1 @@
+"""Cleaning, parsing and linking of postal addresses as Spark jobs."""
