@@ -17,7 +17,7 @@ def _json_candidate(c):
 
 def match_documents(results: DataFrame) -> DataFrame:
     """record_id and one JSON document with the best candidate, all candidates and diagnostics."""
-    entry = lambda b: F.struct(b["key"].alias("key"), F.regexp_replace(b["value"], _CONTROL, "").alias("value"), F.format_number(b["weight"], "0.00").alias("weight"))
+    entry = lambda b: F.struct(b["key"].alias("key"), F.regexp_replace(b["value"], _CONTROL, "").alias("value"), F.call_function("format_number", b["weight"], F.lit("0.00")).alias("weight"))
     best = F.when(F.col("best").isNotNull(), F.struct(_json_candidate(F.col("best")).alias("candidate"), F.transform("best.breakdown", entry).alias("breakdown")))
     body = F.struct(
         best.alias("best_candidate"),

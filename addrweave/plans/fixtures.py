@@ -60,11 +60,12 @@ def raw_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_addresses(load_locations(raw_locations(spark, sf_dir)), "address")
+    """Parsed once and kept: joins would otherwise push their conditions down through the parser."""
+    return parse_addresses(load_locations(raw_locations(spark, sf_dir)), "address").persist()
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_addresses(read_addresses(raw_addresses(spark, sf_dir)), "address")
+    return parse_addresses(read_addresses(raw_addresses(spark, sf_dir)), "address").persist()
 
 
 def responses(best: DataFrame, top: DataFrame) -> DataFrame:

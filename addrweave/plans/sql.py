@@ -83,7 +83,7 @@ def _parse(source: str, ident: str, p: str) -> str:
 {p}11 AS (SELECT *, array_to_string(list_transform(CASE WHEN f > 0 THEN c[1:f-1] ELSE c END, lambda w: regexp_replace(w, '^([0-9]|[0-9].*[0-9])(ST|ND|RD|TH)$', '\\1')), ' ') AS street_name,
   CASE WHEN f > 0 THEN c[f] ELSE '' END AS street_suffix, array_to_string(t[u:v-1], ' ') AS unit, CASE WHEN f > 0 THEN array_to_string(c[f+1:], ' ') ELSE '' END AS city_,
   CASE WHEN s > 0 THEN substr(t[s], 1, 2) ELSE '' END AS state_, CASE WHEN z > 0 THEN {_zip("t[z]")} ELSE '' END AS zip_ FROM {p}10),
-{p} AS (SELECT {ident}, n, address, street_number, street_direction, street_name, street_suffix, unit, city_ AS city, state_ AS state, zip_ AS postal_code,
+{p} AS MATERIALIZED (SELECT {ident}, n, address, street_number, street_direction, street_name, street_suffix, unit, city_ AS city, state_ AS state, zip_ AS postal_code,
   CASE WHEN street_number <> '' AND street_name <> '' THEN street_number || '|' || street_direction || '|' || street_name || '|' || street_suffix || '|' || city_ || '|' || state_ || '|' || zip_ ELSE '' END AS canonical_key
   FROM {p}11)"""
 
@@ -112,7 +112,7 @@ scored AS (SELECT record_id, location_id, {", ".join(_PARTS)},
 merged AS (SELECT *, greatest(canonical, structured, fuzzy) AS confidence FROM scored WHERE coalesce(canonical, structured, fuzzy) IS NOT NULL),
 named AS (SELECT *, CASE WHEN canonical = confidence THEN 'canonical' WHEN structured = confidence THEN 'structured' ELSE 'fuzzy' END AS strategy FROM merged),
 candidates AS (SELECT *, CASE strategy WHEN 'canonical' THEN 'canonical_key_match' WHEN 'structured' THEN 'weighted_component_score' ELSE 'approximate_text_similarity' END AS reason FROM named),
-top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY confidence DESC, location_id) AS INTEGER) AS rank FROM candidates) WHERE rank <= 5),
+top AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY confidence DESC, location_id) AS INTEGER) AS rank FROM candidates) WHERE rank <= 5),
 best AS (SELECT a.*, t.location_id, t.confidence, coalesce(t.strategy, 'none') AS selected_strategy, coalesce(printf('%.3f', t.confidence), '0.00') AS selected_confidence FROM adr a LEFT JOIN top t ON a.record_id = t.record_id AND t.rank = 1)"""
 
 _C = ", ".join(f"CASE WHEN n > 0 THEN {c} ELSE '-' END AS {c}" for c in COMPONENTS)

@@ -19,9 +19,10 @@ def match_stream(arriving: DataFrame, locations: DataFrame, path: str, checkpoin
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        addresses = parse_addresses(read_addresses(batch), "address")
+        addresses = parse_addresses(read_addresses(batch), "address").persist()
         best = best_match(addresses, find_candidates(addresses, locations, config))
         best.select("record_id", "location_id", "confidence", "selected_strategy", "selected_confidence").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        addresses.unpersist()
 
     writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
