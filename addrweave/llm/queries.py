@@ -83,4 +83,16 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators are held against brute force, round trips or held-out labels in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": r"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS t FROM documents),
+starts AS (SELECT doc_id, t, unnest(range(1, len(t) - 11)) AS i FROM texts WHERE len(t) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(t[i:i + 12], ' ') AS w FROM starts),
+lowest AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, i + o AS k FROM windows JOIN lowest USING (w) CROSS JOIN (SELECT unnest(range(0, 13)) AS o) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS k FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""",
+}
