@@ -8,11 +8,12 @@ node can ever be among a query's nearest.
 A tree splits at the median of the projections on the line through two random
 points.  The planes are fitted on a bounded sample (``SAMPLE`` nodes, by hash),
 and every vector is then routed to its leaf in every tree.  The depth follows
-the number of vectors, so leaves keep their size as the table grows, until the
-sample has ``LEAST`` points a leaf.  A query walks all trees through one
-priority queue, the best margin first, until it holds ``LEAVES`` leaves; in each
-of these its products with the leaf's original vectors are computed exactly, in
-double precision, and the best of all leaves are its answer.
+the number of vectors until the sample has ``LEAST`` points a leaf or ``LEAVES``
+are no more than ``SHARE`` of all leaves; from there leaves grow with the table,
+so that a query's share of the table does not shrink.  A query walks all trees
+through one priority queue, the best margin first, until it holds ``LEAVES``
+leaves; in each of these its products with the leaf's original vectors are
+computed exactly, in double precision, and the best of all leaves are its answer.
 
 Null vectors, those with null or non-finite components, of length zero, or of
 another dimension than the most common one, take no part.  Rows of one vec_id
@@ -35,6 +36,15 @@ LEAF = 128
 LEAST = 8
 SAMPLE = 20_000
 LEAVES = 320
+SHARE = 1 / 26
+
+
+def depth_for(n: int) -> int:
+    """Depth of the trees over n vectors."""
+    depth = 0
+    while n / (1 << depth) > LEAF and min(n, SAMPLE) / (2 << depth) >= LEAST and LEAVES / (TREES << depth + 1) >= SHARE:
+        depth += 1
+    return depth
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -126,9 +136,7 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, id_col: str = "v
         more = np.sqrt(np.maximum(square - (points**2).sum(1), 0))
         return np.hstack([points, more[:, None]])
 
-    depth = 0
-    while n / (1 << depth) > LEAF and min(n, SAMPLE) / (2 << depth) >= LEAST:
-        depth += 1
+    depth = depth_for(n)
     points = lifted(np.array(sample.tolist(), np.float64)) if len(sample) else np.zeros((0, 1))
     shared = spark.sparkContext.broadcast(Forest(points, depth, TREES))  # as large as the sample at most, times TREES / LEAST
 

@@ -187,6 +187,24 @@ def test_neighbours(spark):
     assert hit / (20 * len(asked)) >= 0.9
 
 
+def test_searched_share_of_larger_tables():
+    from addrweave.llm import rptrees as R
+
+    for n in (10**4, 10**5, 10**6, 10**8):
+        assert R.LEAVES / (R.TREES << R.depth_for(n)) >= R.SHARE
+    x = np.random.default_rng(0).normal(size=(130_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = R.Forest(x[: R.SAMPLE], R.depth_for(len(x)), R.TREES)
+    leaf = np.concatenate([forest.leaves(x[k : k + 10_000]) for k in range(0, len(x), 10_000)])
+    hit = 0
+    for q in range(len(x) - 40, len(x)):
+        seen = np.zeros(len(x), bool)
+        for tree, at in forest.search(x[q], R.LEAVES):
+            seen |= leaf[:, tree] == at
+        hit += seen[np.argpartition(-(x @ x[q]), 21)[:21]].sum()
+    assert hit / (40 * 21) >= 0.92
+
+
 def test_odd_vectors(spark):
     good = [(k, [1.0, float(k % 3)]) for k in range(0, 60, 5)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [None, 1.0]), (160, [float("nan"), 1.0])]
