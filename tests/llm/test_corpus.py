@@ -157,6 +157,15 @@ def test_base_score(spark, docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_long_words_cost_their_length(spark):
+    draw = np.random.default_rng(2)
+    texts = [(k, "some plain words of a text " * 5) for k in range(40) if k not in (3, 5)]
+    texts += [(k, bytes(draw.integers(97, 123, n).tolist()).decode()) for k, n in ((3, 1_000), (5, 4_000))]
+    got = {r["doc_id"]: r for r in score_text(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[3]["held_out"] and got[5]["held_out"]
+    assert got[3]["bits_per_byte"] > 3 and got[5]["bits_per_byte"] == pytest.approx(got[3]["bits_per_byte"], rel=0.2)
+
+
 def test_bytes(spark, docs):
     data = {i: t.encode() for i, t in docs.items()}
     low: dict = {}
