@@ -1,8 +1,10 @@
 """Language identification by compression.
 
-Each language is a raw-content zstandard dictionary: excerpts of training texts
-of that language, ``SLOTS`` at most, each of ``EXCERPT`` bytes at most.  Texts and
-excerpts are reduced to lower-case letters and single spaces first.  A text is cut into pieces, each piece is encoded once per language with that language's
+Each language is a raw-content zstandard dictionary: stretches of training texts
+of that language, ``SLOTS`` at most, each of ``EXCERPT`` bytes at most.  Whole
+texts are cut into stretches, and a hash of a stretch's own content picks them,
+so all parts of all texts are eligible and equal stretches count once.  Texts are
+reduced to lower-case letters and single spaces first.  A text is cut into pieces, each piece is encoded once per language with that language's
 dictionary, and the language with the fewest bytes in all is the prediction; a
 margin under ``min_margin`` rejects it (column ``accepted``).  Whole texts are
 encoded; the pieces keep a long text from becoming its own dictionary.
@@ -14,6 +16,7 @@ sorts first.  Without any training row every text is ``und``.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -39,22 +42,40 @@ def letters(text: str) -> bytes:
     return f" {_OTHER.sub(' ', text.lower())}".encode()
 
 
+def stretches(text: str) -> list[bytes]:
+    """The whole text's letters, cut into equal parts of EXCERPT bytes at most."""
+    data = letters(text)
+    step = -(-len(data) // -(-len(data) // EXCERPT))
+    return [data[k : k + step] for k in range(0, len(data), step)]
+
+
 def dictionaries(docs: DataFrame, lang_col: str = "lang") -> dict[str, bytes]:
-    """Language -> dictionary content, from at most SLOTS texts a language.
+    """Language -> dictionary content, from at most SLOTS stretches a language.
 
-    The texts are picked by an aggregate over hashes of ids, so no language's
-    rows meet in one task.
+    The stretches are picked by an aggregate over hashes of their content, first
+    within each block, so no language's rows meet in one task.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key = F.xxhash64("doc_id")
-    picked = rows.groupBy("lang", F.pmod(key, F.lit(SLOTS)).alias("slot")).agg(F.min_by(F.substring("text", 1, EXCERPT), F.struct(key, "doc_id", "text")).alias("excerpt"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+
+    def cut(block):
+        least: dict = {}
+        for text, lang in zip(block.column("text").to_pylist(), block.column("lang").to_pylist(), strict=True):
+            if _LETTER.search(text):
+                for stretch in stretches(text):
+                    key = int.from_bytes(hashlib.blake2b(stretch, digest_size=8).digest(), "little", signed=True)
+                    at = lang, key % SLOTS
+                    least[at] = min(least.get(at, (key, stretch)), (key, stretch))
+        columns = [[lang for lang, _ in least], [slot for _, slot in least], [key for key, _ in least.values()], [stretch for _, stretch in least.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["lang", "slot", "key", "stretch"])
+
+    cuts = per_block(rows, cut, "lang string, slot int, key long, stretch binary")
+    picked = cuts.groupBy("lang", "slot").agg(F.min_by("stretch", F.struct("key", "stretch")).alias("stretch"))
     found = picked.orderBy("lang", "slot").limit(MAX_LANGUAGES * SLOTS + 1).collect()
     if len(found) > MAX_LANGUAGES * SLOTS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out: dict[str, bytes] = {}
     for row in found:
-        out[row["lang"]] = out.get(row["lang"], b"") + letters(row["excerpt"])[:EXCERPT]
+        out[row["lang"]] = out.get(row["lang"], b"") + bytes(row["stretch"])
     return out
 
 

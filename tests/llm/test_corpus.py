@@ -260,6 +260,20 @@ def test_language(spark):
     assert (held.lang == held.lang_pred).mean() > 0.85
 
 
+def test_language_behind_equal_openings(spark):
+    draw = np.random.default_rng(4)
+    word = lambda: bytes(draw.integers(97, 123, 6).tolist()).decode()
+    opening = " ".join(word() for _ in range(100))
+    known = {lang: [word() for _ in range(60)] for lang in ("aa", "bb")}
+    rows = []
+    for k in range(80):
+        lang = ("aa", "bb")[k % 2]
+        own = " ".join(draw.choice(known[lang], 150))
+        rows.append((k, own if zlib.crc32(str(k).encode()) % 4 == 2 else f"{opening} {own}", lang))
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert got and all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
