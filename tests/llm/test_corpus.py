@@ -166,6 +166,15 @@ def test_long_words_cost_their_length(spark):
     assert got[3]["bits_per_byte"] > 3 and got[5]["bits_per_byte"] == pytest.approx(got[3]["bits_per_byte"], rel=0.2)
 
 
+def test_order_of_words_counts(spark):
+    words = "every good driver knows where old roads turn toward distant hills".split()
+    shuffled = words[::-1]
+    texts = [(k, " ".join(words)) for k in range(40) if k not in (3, 5)] + [(3, " ".join(words)), (5, " ".join(shuffled))]
+    got = {r["doc_id"]: r for r in score_text(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[3]["held_out"] and got[5]["held_out"] and got[3]["base_score"] == pytest.approx(got[5]["base_score"])
+    assert got[3]["score"] > got[5]["score"] + 1
+
+
 def test_bytes(spark, docs):
     data = {i: t.encode() for i, t in docs.items()}
     low: dict = {}
