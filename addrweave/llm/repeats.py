@@ -9,8 +9,9 @@ shard builds.
 2. Minimizers met in one text alone are dropped by an aggregate and a join.
 3. The runs that are left are joined to the texts once, which gives *segments*
    (the symbols that a run's windows cover).  Equal segments are folded to one,
-   with their smallest doc_id.  Runs of a minimizer with over ``HOT`` runs are
-   cut into single windows first, so folding bounds what shares a minimizer.
+   with their smallest doc_id.  Runs of a minimizer whose runs have over ``HOT``
+   symbols together are cut into single windows first, each under a key of its
+   own, so what shares a key is bounded.
 4. Segments are dealt to shards by minimizer; a shard's index finds, for each
    window of its segments, the smallest doc_id among all equal windows.
 5. The answers are joined back to the runs: a window whose smallest doc_id is
@@ -21,7 +22,11 @@ on the map side, joins can be split, and shards hold folded segments.
 
 Null texts count as empty.  A null doc_id counts as the largest.  Rows of equal
 doc_id and text are one document; exact copies of a text with a smaller doc_id
-are recognised by a digest of the whole text.
+are recognised by a digest of the whole text and need no segments.
+
+The functions run Spark jobs when they are called.  Their intermediate tables go
+when the last job has read them; the marks, which the result reads, stay in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ from pyspark.sql import functions as F
 from . import text
 from .common import discard, stored
 
-HOT = 4000
-SHARD_SYMBOLS = 400_000
+HOT = 1 << 18
+SALTS = 16
+SHARD_SYMBOLS = 1 << 18
 LAST = (1 << 63) - 1
 
 
@@ -65,26 +71,29 @@ def _byte_grams(data: np.ndarray, n: int) -> np.ndarray:
         eight[k::8] = part[: len(eight[k::8])]
     total = np.zeros(len(data) - n + 1, np.uint64)
     for k in range(0, n, 8):
-        total = text.mix(total ^ eight[k : len(data) - n + 1 + k])
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += eight[k : k + len(total)]
+        total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0x9E3779B97F4A7C15)
     return total
 
 
 def _runs(unit: str, body: pa.Array, window: int, gram: int):
-    data, words, first, starts, ends = _symbols(unit, body)
-    grams = text.grams(words, gram) if unit == "word" else _byte_grams(data, gram)
+    """Minimizer, row, first window in the text and number of windows of every run."""
+    _, words, first, _, _ = _symbols(unit, body)
+    grams = text.grams(words, gram) if unit == "word" else _byte_grams(text.raw(body)[0], gram)
     least = text.sliding_min(grams, window - gram + 1)
-    rows = text.owners(first)
-    n = len(least)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    inside = rows[:n] == rows[window - 1 : window - 1 + n]
-    new = np.ones(n, bool)
-    new[1:] = (least[1:] != least[:-1]) | (rows[1:n] != rows[: n - 1]) | ~inside[:-1]
-    begin = np.flatnonzero(new & inside)
-    stop = np.append(np.flatnonzero(new | ~inside), n)
-    end = stop[np.searchsorted(stop, begin, "right")]
-    return least[begin], rows[begin], begin - first[rows[begin]], end - begin
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[first[first < len(least)]] = True
+    begin = np.flatnonzero(new)
+    row = np.searchsorted(first, begin, "right") - 1
+    stop = first[row + 1] - window + 1  # behind the text's last window
+    inside = begin < stop
+    end = np.minimum(np.append(begin[1:], len(least)), stop)[inside]
+    begin, row = begin[inside], row[inside]
+    return least[begin], row, begin - first[row], end - begin
 
 
 def runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
@@ -100,11 +109,17 @@ def runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
-    """Runs of shared minimizers with their symbols' bytes and a 128-bit digest of these."""
+    """Runs of shared minimizers with their symbols' bytes and a 128-bit digest of these.
+
+    Only the smallest document of each text is cut; its exact copies are judged
+    by ``copies``.
+    """
     every = runs(docs, unit, window, gram)
-    shared = every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("count")).where("low < high").select("m", (F.col("count") > HOT).alias("hot"))
+    symbols = F.sum(F.col("at").bitwiseAND(0x7FFFFFFF) + (window - 1))
+    shared = every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), symbols.alias("symbols")).where("low < high").select("m", (F.col("symbols") > HOT).alias("hot"))
     met = every.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at", "hot")).alias("runs"))
-    texts = docs.select("__doc", "__fp", "__body").join(stored(met), F.col("__fp") == F.col("fp"))
+    met = stored(met.join(_lowest_of_text(docs).select("doc", "fp"), "fp"))
+    texts = docs.select("__doc", "__fp", "__body").join(met, (F.col("__fp") == F.col("fp")) & (F.col("__doc") == F.col("doc")))
 
     def cut(batches):
         for block in text.blocks(batches, "__body"):
@@ -143,61 +158,77 @@ def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
             columns = [pa.array(m), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), block.column("__doc").take(take), block.column("__fp").take(take), pa.array(start.astype(np.int32)), content]
             yield pa.RecordBatch.from_arrays(columns, ["m", "s1", "s2", "doc", "fp", "start", "content"])
 
-    return texts.select("__doc", "__fp", "__body", "runs").mapInArrow(cut, "m long, s1 long, s2 long, doc long, fp long, start int, content binary")
+    made = stored(texts.select("__doc", "__fp", "__body", "runs").mapInArrow(cut, "m long, s1 long, s2 long, doc long, fp long, start int, content binary"))
+    discard(met)
+    return made
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
-    """__doc, __fp and the starts of windows that also start in a smaller doc.
+    """__doc, __fp and starts (lists) of windows that also start in a smaller doc.
 
     ``lowest(contents, docs)`` gives, for each segment of a shard, the smallest
     doc_id of each of its windows.  ``docs`` comes from ``keyed``.
     """
-    made = stored(segments(docs, unit, window, gram))
-    folded = stored(made.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.min("content").alias("content")))
+    made = segments(docs, unit, window, gram)
+    folded = stored(made.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("content").alias("content")))
     total = folded.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, total // (SHARD_SYMBOLS * (6 if unit == "word" else 1)) + 1)
 
     def index(table: pa.Table) -> pa.Table:
         contents = table.column("content").combine_chunks()
         lists = lowest(contents.chunk(0) if isinstance(contents, pa.ChunkedArray) else contents, table.column("doc").to_numpy())
-        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": lists})
-
-    answers = stored(folded.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard").groupBy("shard").applyInArrow(index, "s1 long, s2 long, low array<long>"))
-    at = made.select("s1", "s2", "doc", "fp", "start").join(answers.dropDuplicates(["s1", "s2"]), ["s1", "s2"])
+        least = np.minimum.reduceat(lists.values.to_numpy(), lists.offsets.to_numpy()[:-1])
+        some = pa.array(least < table.column("last").to_numpy())  # the others repeat nothing
+        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": lists}).filter(some)
+
+    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
+    answers = stored(dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, low array<long>"))
+    discard(folded)
+    at = made.select("s1", "s2", "doc", "fp", "start").join(answers, ["s1", "s2"])
     found = F.filter(F.transform("low", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = at.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), found.alias("starts")).where(F.size("starts") > 0)
     out = stored(hits.groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    discard(made, folded, answers)
+    discard(made, answers)
     return out
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    return docs.select("__doc", "__fp", F.md5("__body").alias("digest"))
+
+
+def _lowest_of_text(docs: DataFrame) -> DataFrame:
+    """doc and fp of the smallest document of each text, and n, the text's rows."""
+    return _digests(docs).groupBy("digest").agg(F.min("__doc").alias("doc"), F.min("__fp").alias("fp"), F.count("*").alias("n"))
+
+
 def copies(docs: DataFrame) -> DataFrame:
-    """__doc and __fp of the documents whose whole text a smaller doc has."""
-    each = docs.select("__doc", "__fp", F.md5("__body").alias("digest"))
-    low = each.groupBy("digest").agg(F.min("__doc").alias("low"))
-    return each.join(low, "digest").where("__doc > low").select("__doc", "__fp").distinct()
+    """__doc and __fp of the documents whose whole text a smaller doc has.
+
+    Only texts of more than one row are joined, each under ``SALTS`` keys, so
+    the rows of one text are dealt to as many tasks.
+    """
+    low = _lowest_of_text(docs).where("n > 1").select("digest", F.col("doc").alias("low"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    each = _digests(docs).withColumn("salt", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int"))
+    return each.join(low, ["digest", "salt"]).where("__doc > low").select("__doc", "__fp").distinct()
 
 
 def marked(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
-    """The documents with their repeated windows (``starts``) and whether they are copies."""
+    """The documents with their repeated windows (``__starts``) and whether they are copies (``__copy``)."""
     marks = repeated(docs, unit, window, gram, lowest).withColumn("copy", F.lit(False))
     whole = copies(docs).select("__doc", "__fp", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
-    marks = marks.union(whole).groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("copy").alias("copy"))
+    marks = marks.unionByName(whole).withColumnsRenamed({"starts": "__starts", "copy": "__copy"})
     return docs.join(marks, ["__doc", "__fp"], "left")
 
 
 def covered(first: np.ndarray, lists: pa.Array, copy: pa.Array, window: int) -> np.ndarray:
     """Which symbols of a block the repeated windows cover."""
-    starts = lists.to_pylist()
-    whole = copy.to_pylist()
     edge = np.zeros(first[-1] + 1, np.int32)
-    for r, (found, all_of_it) in enumerate(zip(starts, whole, strict=True)):
-        if all_of_it:
-            if first[r + 1] - first[r] >= window:
-                edge[first[r]] += 1
-                edge[first[r + 1]] -= 1
-        elif found:
-            at = first[r] + np.unique(np.array(found, np.int64))
-            edge[at] += 1
-            np.subtract.at(edge, at + window, 1)
+    whole = np.flatnonzero(copy.fill_null(False).to_numpy(zero_copy_only=False) & (np.diff(first) >= window))
+    edge[first[whole]] += 1
+    np.subtract.at(edge, first[whole + 1], 1)
+    lists = pa.concat_arrays([lists])
+    counts = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(first[:-1], counts)
+    edge += np.bincount(at, minlength=len(edge)).astype(np.int32)
+    edge -= np.bincount(at + window, minlength=len(edge)).astype(np.int32)
     return np.cumsum(edge[:-1]) > 0

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -113,11 +113,13 @@ def owners(first: np.ndarray) -> np.ndarray:
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values, by doubling."""
-    if len(values) < width:
+    n = len(values)
+    if n < width:
         return values[:0]
-    out, have = values, 1
-    while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    more = width - have
-    return np.minimum(out[:-more], out[more:]) if more else out
+    out, have = values.copy(), 1
+    while have < width:
+        more = min(have, width - have)
+        n -= more
+        np.minimum(out[:n], out[more : n + more], out=out[:n])
+        have += more
+    return out[:n]
