@@ -9,11 +9,11 @@ shard builds.
 2. Minimizers met in one text alone are dropped by an aggregate and a join.
 3. The runs that are left are joined to the texts once, which gives *segments*
    (the symbols that a run's windows cover).  Equal segments are folded to one,
-   with their smallest doc_id.  Runs of a minimizer whose runs have over ``HOT``
-   symbols together are cut into single windows first, each under a key of its
-   own, so what shares a key is bounded.
+   with their smallest and largest doc_id.
 4. Segments are dealt to shards by minimizer; a shard's index finds, for each
-   window of its segments, the smallest doc_id among all equal windows.
+   window of its segments, the smallest doc_id among all equal windows.  Where
+   the folded segments of one minimizer are more than a shard should hold, each
+   of their windows is dealt as a segment of its own, by its content.
 5. The answers are joined back to the runs: a window whose smallest doc_id is
    below the run's own is a repeat.
 
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from . import text
 from .common import discard, stored
 
-HOT = 1 << 18
 SALTS = 16
 SHARD_SYMBOLS = 1 << 18
 LAST = (1 << 63) - 1
@@ -108,6 +107,33 @@ def runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     return docs.select("__fp", "__body").mapInArrow(run, "m long, fp long, at long")
 
 
+def _content(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The bytes data[low:high] of each stretch."""
+    size = high - low
+    cuts = np.cumsum([0, *size])
+    at = np.repeat(low - cuts[:-1], size) + np.arange(cuts[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data[at].tobytes())]).cast(pa.binary())
+
+
+def _stretches(unit: str, body: pa.Array):
+    """Each row's first symbol, and a function from symbol ranges to digests (two of 64 bits) and bytes."""
+    data, words, first, starts, ends = _symbols(unit, body)
+
+    def cut(a: np.ndarray, b: np.ndarray):
+        size = (b - a).astype(np.uint64)
+        if unit == "byte":
+            return text.hashes(data, a, b), text.hashes(text.SHUFFLED[data], a, b) + size, _content(data, a, b)
+        sums = []
+        for salt in (0, 0x632BE59BD9B4E019):
+            power = text._power(text._BASE, len(words) + 1)
+            total = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(text.mix(words ^ np.uint64(salt)) * power[: len(words)], out=total[1:])
+            sums.append(text.mix((total[b] - total[a]) * text._power(text._INVERSE, len(words) + 1)[a] + size))
+        return *sums, _content(data, starts[a], ends[b - 1])
+
+    return first, cut
+
+
 def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """Runs of shared minimizers with their symbols' bytes and a 128-bit digest of these.
 
@@ -115,54 +141,55 @@ def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     by ``copies``.
     """
     every = runs(docs, unit, window, gram)
-    symbols = F.sum(F.col("at").bitwiseAND(0x7FFFFFFF) + (window - 1))
-    shared = every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), symbols.alias("symbols")).where("low < high").select("m", (F.col("symbols") > HOT).alias("hot"))
-    met = every.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at", "hot")).alias("runs"))
+    shared = stored(every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("m"))
+    met = every.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at")).alias("runs"))
     met = stored(met.join(_lowest_of_text(docs).select("doc", "fp"), "fp"))
     texts = docs.select("__doc", "__fp", "__body").join(met, (F.col("__fp") == F.col("fp")) & (F.col("__doc") == F.col("doc")))
 
-    def cut(batches):
+    def run(batches):
         for block in text.blocks(batches, "__body"):
-            data, words, first, starts, ends = _symbols(unit, block.column("__body"))
-            lists = block.column("runs")
-            if len(lists) and lists.offset:
-                lists = pa.concat_arrays([lists])
+            first, cut = _stretches(unit, block.column("__body"))
+            lists = pa.concat_arrays([block.column("runs")])
             flat = lists.flatten()
-            counts = np.diff(lists.offsets.to_numpy())
-            m, place, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            m, place = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            row = np.repeat(np.arange(block.num_rows), np.diff(lists.offsets.to_numpy()))
             start, n = place >> 31, place & 0x7FFFFFFF
-            row = np.repeat(np.arange(block.num_rows), counts)
-            times = np.where(hot, n, 1)  # a hot run: one segment a window
-            row, m, hot = np.repeat(row, times), np.repeat(m, times), np.repeat(hot, times)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            start = np.repeat(start, times).astype(np.int64) + np.where(hot, step, 0)
-            n = np.where(hot, 1, np.repeat(n, times)).astype(np.int64)
             a = first[row] + start
-            b = a + n + window - 1
-            low, high = (starts[a], ends[b - 1]) if unit == "word" else (a, b)
-            if unit == "word":
-                sums = [np.zeros(0, np.uint64)] * 2
-                for k, salt in enumerate((0, 0x632BE59BD9B4E019)):
-                    power = text._power(text._BASE, len(words) + 1)
-                    total = np.zeros(len(words) + 1, np.uint64)
-                    np.cumsum(text.mix(words ^ np.uint64(salt)) * power[: len(words)], out=total[1:])
-                    sums[k] = text.mix((total[b] - total[a]) * text._power(text._INVERSE, len(words) + 1)[a] + (b - a).astype(np.uint64))
-            else:
-                sums = [text.hashes(data, low, high), text.hashes(text.SHUFFLED[data], low, high) + (b - a).astype(np.uint64)]
-            m = np.where(hot, sums[0].view(np.int64), m)
-            size = high - low
-            cuts = np.cumsum([0, *size])
-            at = np.repeat(low - cuts[:-1], size) + np.arange(cuts[-1])
-            content = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data[at].tobytes())]).cast(pa.binary())
+            s1, s2, content = cut(a, a + n + window - 1)
             take = pa.array(row)
-            columns = [pa.array(m), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), block.column("__doc").take(take), block.column("__fp").take(take), pa.array(start.astype(np.int32)), content]
+            columns = [pa.array(m), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), block.column("__doc").take(take), block.column("__fp").take(take), pa.array(start.astype(np.int32)), content]
             yield pa.RecordBatch.from_arrays(columns, ["m", "s1", "s2", "doc", "fp", "start", "content"])
 
-    made = stored(texts.select("__doc", "__fp", "__body", "runs").mapInArrow(cut, "m long, s1 long, s2 long, doc long, fp long, start int, content binary"))
-    discard(met)
+    made = stored(texts.select("__doc", "__fp", "__body", "runs").mapInArrow(run, "m long, s1 long, s2 long, doc long, fp long, start int, content binary"))
+    discard(shared, met)
     return made
 
 
+def windows(folded: DataFrame, unit: str, window: int) -> DataFrame:
+    """Every window of the segments as a segment of its own, under a key of its own (m).
+
+    p1, p2 and k tell the segment and the window's number in it.
+    """
+
+    def run(batches):
+        for block in text.blocks(batches, "content"):
+            first, cut = _stretches(unit, block.column("content"))
+            n = np.diff(first) - window + 1
+            row = np.repeat(np.arange(block.num_rows), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            a = first[row] + k
+            s1, s2, content = cut(a, a + window)
+            s1, s2, take = pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(row)
+            columns = [s1, s1, s2, *(block.column(c).take(take) for c in ("doc", "last", "s1", "s2")), pa.array(k.astype(np.int32)), content]
+            yield pa.RecordBatch.from_arrays(columns, ["m", "s1", "s2", "doc", "last", "p1", "p2", "k", "content"])
+
+    return folded.select("s1", "s2", "doc", "last", "content").mapInArrow(run, "m long, s1 long, s2 long, doc long, last long, p1 long, p2 long, k int, content binary")
+
+
+def _fold(df: DataFrame, last: str) -> DataFrame:
+    return df.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.max(last).alias("last"), F.min("content").alias("content"))
+
+
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
     """__doc, __fp and starts (lists) of windows that also start in a smaller doc.
 
@@ -170,25 +197,43 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
     doc_id of each of its windows.  ``docs`` comes from ``keyed``.
     """
     made = segments(docs, unit, window, gram)
-    folded = stored(made.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("content").alias("content")))
+    folded = stored(_fold(made, "doc"))
+    bytes_of = folded.groupBy("m").agg(F.sum(F.length("content")).alias("bytes"))
+    shard = SHARD_SYMBOLS * (6 if unit == "word" else 1)
+    hot = stored(bytes_of.where(F.col("bytes") > shard).select("m"))
     total = folded.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, total // (SHARD_SYMBOLS * (6 if unit == "word" else 1)) + 1)
+    shards = max(1, total // shard + 1)
 
     def index(table: pa.Table) -> pa.Table:
         contents = table.column("content").combine_chunks()
         lists = lowest(contents.chunk(0) if isinstance(contents, pa.ChunkedArray) else contents, table.column("doc").to_numpy())
-        least = np.minimum.reduceat(lists.values.to_numpy(), lists.offsets.to_numpy()[:-1])
-        some = pa.array(least < table.column("last").to_numpy())  # the others repeat nothing
-        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": lists}).filter(some)
-
-    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
-    answers = stored(dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, low array<long>"))
-    discard(folded)
-    at = made.select("s1", "s2", "doc", "fp", "start").join(answers, ["s1", "s2"])
-    found = F.filter(F.transform("low", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull())
-    hits = at.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), found.alias("starts")).where(F.size("starts") > 0)
+        low, cuts = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        n = np.diff(cuts)
+        kept = low < np.repeat(table.column("last").to_numpy(), n)  # windows that repeat in some document
+        k = np.arange(len(low)) - np.repeat(cuts[:-1], n)
+        cuts = np.concatenate([[0], np.cumsum(kept)])[cuts]
+        found = pa.StructArray.from_arrays([pa.array(k[kept].astype(np.int32)), pa.array(low[kept])], ["k", "low"])
+        out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "found": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)})
+        return out.filter(pa.array(np.diff(cuts) > 0))
+
+    def indexed(segments_of: DataFrame) -> DataFrame:
+        dealt = segments_of.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
+        return dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, found array<struct<k int, low long>>")
+
+    answers = [stored(indexed(folded.join(hot, "m", "left_anti")))]
+    if not hot.isEmpty():
+        every = stored(windows(folded.join(hot, "m", "left_semi"), unit, window))
+        each = indexed(_fold(every, "last")).select("s1", "s2", F.col("found")[0]["low"].alias("low"))
+        back = every.select("s1", "s2", "p1", "p2", "k").join(each, ["s1", "s2"])
+        answers.append(stored(back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.collect_list(F.struct("k", "low")).alias("found"))))
+        discard(every)
+    discard(folded, hot)
+    found = answers[0] if len(answers) == 1 else answers[0].union(answers[1])
+    at = made.select("s1", "s2", "doc", "fp", "start").join(found, ["s1", "s2"])
+    starts = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.col("start") + x["k"])
+    hits = at.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), starts.alias("starts")).where(F.size("starts") > 0)
     out = stored(hits.groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    discard(made, answers)
+    discard(made, *answers)
     return out
 
 
