@@ -3,11 +3,14 @@
 Each language is a raw-content zstandard dictionary: stretches of training texts
 of that language, ``SLOTS`` at most, each of ``EXCERPT`` bytes at most.  Whole
 texts are cut into stretches, and a hash of a stretch's own content picks them,
-so all parts of all texts are eligible and equal stretches count once.  Texts are
-reduced to lower-case letters and single spaces first.  A text is cut into pieces, each piece is encoded once per language with that language's
-dictionary, and the language with the fewest bytes in all is the prediction; a
-margin under ``min_margin`` rejects it (column ``accepted``).  Whole texts are
-encoded; the pieces keep a long text from becoming its own dictionary.
+so all parts of all texts are eligible and equal stretches count once.  All
+languages together have ``MAX_STRETCHES`` at most: many languages get fewer each
+(one at least), and none is left out.  Texts are reduced to lower-case letters
+(Unicode category L) and single spaces first.  A text is cut into pieces, each
+piece is encoded once per language with that language's dictionary, and the
+language with the fewest bytes in all is the prediction; a margin under
+``min_margin`` rejects it (column ``accepted``).  Whole texts are encoded; the
+pieces keep a long text from becoming its own dictionary.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with
 a null language are not learned from.  Equal sizes go to the language that
@@ -17,24 +20,24 @@ sorts first.  Without any training row every text is ``und``.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, per_block, remainder
+from .common import discard, documents, per_block, remainder, stored
 
 SLOTS = 512
 EXCERPT = 512
 PIECE = 16384
 LEVEL = 3
-MAX_LANGUAGES = 256
+MAX_STRETCHES = 1 << 17
 MIN_MARGIN = 0.02
 
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> bytes:
@@ -70,12 +73,14 @@ def dictionaries(docs: DataFrame, lang_col: str = "lang") -> dict[str, bytes]:
 
     cuts = per_block(rows, cut, "lang string, slot int, key long, stretch binary")
     picked = cuts.groupBy("lang", "slot").agg(F.min_by("stretch", F.struct("key", "stretch")).alias("stretch"))
-    found = picked.orderBy("lang", "slot").limit(MAX_LANGUAGES * SLOTS + 1).collect()
-    if len(found) > MAX_LANGUAGES * SLOTS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    picked = stored(picked)
+    languages = picked.select("lang").distinct().count()
+    allowed = max(1, min(SLOTS, MAX_STRETCHES // max(1, languages)))
+    each = picked.groupBy("lang", (F.col("slot") % allowed).alias("slot")).agg(F.min_by("stretch", F.struct("slot", "stretch")).alias("stretch"))
     out: dict[str, bytes] = {}
-    for row in found:
+    for row in each.orderBy("lang", "slot").toLocalIterator():
         out[row["lang"]] = out.get(row["lang"], b"") + bytes(row["stretch"])
+    discard(picked)
     return out
 
 
