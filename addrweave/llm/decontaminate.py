@@ -1,41 +1,59 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
 
 Texts and benchmark items are sequences of words (lower-cased).  The CGK random
-walk reads a sequence from a window's start: in each step it puts out the word
-under the pointer, and a random function of step and word decides whether the
-pointer moves on.  After an edit two walks meet again with high probability, so
-a small edit distance becomes a small Hamming distance of the walks.  Each of
-``SAMPLES`` samples of ``STEPS`` walk positions, for each of ``WALKS`` walks, is
-a key; a text's window and an item's window with an equal key are candidates.
-
-Windows are as long as the item allows (``SIZES`` words).  Items give a window at
-every word, texts at the local minima of their word hashes (every third word or
-so, wherever the passage stands).  Of the texts' keys only those in a bitmap of
-the items' keys (fixed size: 8 MB) leave the task; an ordinary join then finds
-the items.  Candidates that lack more of an item's words than edits are allowed
-can't be leaks; for all others the edit distance of the item to the best place
-around the candidate is computed exactly, word by word.
-
-Nulls and empty texts hold nothing.  Items of fewer than ``SIZES[0]`` words are
-too short to tell and are never reported.  Repeated rows, of either table, give
-one row for each pair of ids.
+walk reads a window of words: in each step it puts out the word under the
+pointer, and a random function of step and word decides whether the pointer moves
+on.  After an edit two walks meet again with high probability, so a small edit
+distance becomes a small Hamming distance of the walks.  Samples of walk
+positions are keys; a text's window and an item's window with an equal key are
+candidates.
+
+Windows are sized by the item (``LADDER``).
+
+- Items of at most ``EXACT`` words may not be edited at all (a fifth of them is
+  less than one word), so the whole item is one key, held against every place.
+- Items of fewer than ``LONG`` words give windows of all but a word or two, texts
+  a window at every word.
+- Longer items give windows of at most two thirds of their words, at each of
+  their words.  Texts give windows at their *anchors*, words with the least hash
+  of some ``ANCHORS`` in a row: any ``ANCHORS`` consecutive words have one, the
+  same in a text and in an item that it holds.
+
+A walk sees nothing but its window, so an unedited copy is always found.  Steps and
+samples of each size are such that at least ``TARGET`` of the items with as many
+edits as are allowed get a candidate (tests measure it for items of all lengths).
+
+Of the texts' keys only those in a bitmap of the items' keys (16 bits a key, 64 MB
+at most) leave the task; an ordinary join then finds the items.  Candidates that
+lack more of an item's words than edits are allowed can't be leaks; for all others
+the edit distance of the item to the best place around the candidate is computed
+exactly, word by word.
+
+Nulls and empty texts hold nothing, and items without a word are in nothing.
+Rows without an id are left out.  Repeated rows, of either table, give one row for
+each pair of ids; of different texts under one id the best place counts.  Jobs
+run when the function is called.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import documents, per_block, stored
+from .common import discard, documents, per_block, stored
 
-SIZES = (4, 8, 16, 32)
+EXACT = 4
+LONG = 15
+LADDER = (4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128)
+ANCHORS = 4
 WALKS = 2
-SAMPLES = 4
-STEPS = 5
-BITMAP_BITS = 26
+TARGET = 0.95
+BITMAP_BITS = 29
 MAX_EDITS = 0.2
 PAIRS = 4096
 
@@ -43,37 +61,49 @@ _PAD = np.uint64(0x1B873593CC9E2D51)
 _FACTOR = np.uint64(0x2545F4914F6CDD1D)
 
 
+def steps_of(size: int) -> int:
+    """Walk positions in a key: few for short windows, which edits hit harder."""
+    return 3 if size < 8 else 4 if size < 16 else 5
+
+
+def samples_of(size: int) -> int:
+    """Keys of a walk: more for short windows, of which an item has few."""
+    return 12 if size < 8 else 6 if size < 16 else 4
+
+
+@functools.cache
 def plan(seed: int = 23):
     """The steps sampled for each (walk, size), and the walks' random functions."""
     draw = np.random.default_rng(seed)
-    longest = SIZES[-1] * 3 // 2
-    odd = draw.integers(0, 1 << 63, (WALKS, longest), np.uint64) * np.uint64(2) + np.uint64(1)
-    chosen = {(w, s): [np.sort(draw.choice(size * 3 // 2, min(STEPS, size), replace=False)) for _ in range(SAMPLES)] for w in range(WALKS) for s, size in enumerate(SIZES)}
+    odd = draw.integers(0, 1 << 63, (WALKS, LADDER[-1] * 3 // 2), np.uint64) * np.uint64(2) + np.uint64(1)
+    chosen = {(w, size): [np.sort(draw.choice(size * 3 // 2, steps_of(size), replace=False)) for _ in range(samples_of(size))] for w in range(WALKS) for size in LADDER}
     return odd, chosen
 
 
 def keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """For each size (its number), the keys of the windows at ``starts``; one row a key.
+    """For each size the keys of the windows at ``starts``; one row a key.
 
-    ``ends`` is where each window's text ends; behind it stands a padding word.
+    ``ends`` is where each window's text ends; behind a window or text stands padding.
     """
     odd, chosen = plan()
-    out = {s: np.full((WALKS * SAMPLES, len(starts)), s, np.uint64) for s in sizes}
-    padded = text.mix(np.append(words, _PAD))
+    mixed = text.mix(np.append(words, _PAD))
+    out = {size: np.full((WALKS * samples_of(size), len(starts)), size, np.uint64) for size in sizes}
     for walk in range(WALKS):
         at = starts.copy()
-        for step in range(max((SIZES[s] * 3 // 2 for s in sizes), default=0)):
-            here = padded[np.where(at < ends, at, len(words))]
-            for s in sizes:
-                for k, sample in enumerate(chosen[walk, s]):
-                    if step in sample:
-                        row = out[s][walk * SAMPLES + k]
-                        row ^= here
+        for step in range(max((size * 3 // 2 for size in sizes), default=0)):
+            here = mixed[np.where(at < ends, at, len(words))]
+            for size in sizes:
+                wanted = [k for k, sample in enumerate(chosen[walk, size]) if step in sample]
+                if wanted:
+                    seen = np.where(at < starts + size, here, mixed[-1]) if step >= size else here
+                    for k in wanted:
+                        row = out[size][walk * samples_of(size) + k]
+                        row ^= seen
                         row *= _FACTOR
             at += (here * odd[walk, step] >> np.uint64(63)).astype(np.int64)
-        for s in sizes:
-            out[s][walk * SAMPLES : (walk + 1) * SAMPLES] ^= np.arange(1 + walk * SAMPLES, 1 + (walk + 1) * SAMPLES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return {s: text.mix(made) for s, made in out.items()}
+    for made in out.values():
+        made ^= np.arange(1, len(made) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    return {size: text.mix(made) for size, made in out.items()}
 
 
 def _words(texts: pa.Array):
@@ -83,67 +113,102 @@ def _words(texts: pa.Array):
     return text.hashes(data, starts, ends), first
 
 
+def phrases(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all stretches of n words inside a text, and where they start."""
+    found = text.grams(words, n)
+    rows = text.owners(first)
+    at = np.flatnonzero(rows[: len(found)] == rows[n - 1 : n - 1 + len(found)])
+    return text.mix(found[at] + np.uint64(n)), at
+
+
+def anchors(words: np.ndarray) -> np.ndarray:
+    """Words with the least hash of some ANCHORS in a row."""
+    least = text.sliding_min(words, ANCHORS)
+    mark = np.ones(len(words), bool)
+    mark[: len(least)] = False
+    for k in range(ANCHORS):
+        mark[k : k + len(least)] |= words[k : k + len(least)] == least
+    return np.flatnonzero(mark)
+
+
 def item_size(n: int) -> int:
-    """The number of the window size for an item of n words; -1 if too short."""
-    fits = [s for s, size in enumerate(SIZES) if size <= max(2 * n // 3, SIZES[0]) and size <= n]
-    return fits[-1] if fits else -1
+    """Words of an item's windows: the whole of a short one; 0 without words."""
+    if n <= EXACT:
+        return n
+    return max(size for size in LADDER if size <= (n - 1 if n < LONG else 2 * n // 3))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """key, item_id, place (word) and size (its number) of all windows of all items."""
+    """key, item_id, place (word), size and kind (exact, short or long) of all windows of all items."""
 
     def run(block):
         words, first = _words(block.column("text"))
         n = np.diff(first)
-        kind = np.array([item_size(int(k)) for k in n], np.int64)
+        sizes = np.array([item_size(int(k)) for k in n], np.int64)
         parts = []
-        for s in np.unique(kind[kind >= 0]).tolist():
-            rows = np.flatnonzero(kind == s)
-            count = n[rows] - SIZES[s] + 1
-            row = np.repeat(rows, count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            for made in keys(words, first[row] + place, first[row + 1], [s])[s]:
-                parts.append((made, row, place, np.full(len(row), s)))
+        for kind, low, high in (("exact", 1, EXACT), ("short", EXACT + 1, LONG - 1), ("long", LONG, 1 << 62)):
+            for size in np.unique(sizes[(n >= low) & (n <= high)]).tolist():
+                rows = np.flatnonzero((sizes == size) & (n >= low) & (n <= high))
+                count = n[rows] - size + 1
+                row = np.repeat(rows, count)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                if kind == "exact":
+                    made, at = phrases(words, first, size)
+                    every = [made[np.searchsorted(at, first[row])]]
+                else:
+                    every = keys(words, first[row] + place, first[row + 1], [size])[size]
+                parts += [(key, row, place, np.full(len(row), size), [kind] * len(row)) for key in every]
         made, row, place, size = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
-        return pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), block.column("doc_id").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "item_id", "place", "size"])
+        kinds = pa.array([kind for p in parts for kind in p[4]], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), block.column("doc_id").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), kinds], ["key", "item_id", "place", "size", "kind"])
 
-    return per_block(items, run, "key long, item_id long, place int, size int").distinct()
+    return per_block(items, run, "key long, item_id long, place int, size int, kind string").distinct()
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of the items' keys: at most 2**(BITMAP_BITS - 6) rows reach the driver."""
-    bit = F.col("key").bitwiseAND((1 << BITMAP_BITS) - 1)
+    """Bits of the items' keys, about 16 times as many as keys and 2**BITMAP_BITS at most."""
+    size = min(BITMAP_BITS, max(16, (16 * windows.count()).bit_length()))
+    bit = F.col("key").bitwiseAND((1 << size) - 1)
     one = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    rows = windows.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    rows = windows.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()  # as many words as the bitmap has at most
+    out = np.zeros(1 << (size - 6), np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
-def candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+def candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[str, int]]) -> DataFrame:
     """key, doc_id, fp, at (word) of the texts' windows that the bitmap lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    of = {kind: sorted(size for k, size in sizes if k == kind) for kind in ("exact", "short", "long")}
 
     def run(block):
         bits = shared.value
         words, first = _words(block.column("text"))
         rows = text.owners(first)
-        low = np.ones(len(words), bool)
-        low[1:] &= (words[1:] <= words[:-1]) | (rows[1:] != rows[:-1])
-        low[:-1] &= (words[:-1] < words[1:]) | (rows[1:] != rows[:-1])
-        starts = np.flatnonzero(low)
-        found, where = [], []
-        for made in keys(words, starts, first[rows[starts] + 1], sizes).values():
-            for row in made:
-                bit = row & np.uint64((1 << BITMAP_BITS) - 1)
-                hit = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
-                found.append(row[hit])
-                where.append(starts[hit])
-        found = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        where = np.concatenate(where) if where else np.zeros(0, np.int64)
-        owner = rows[where]
+        found, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+        def keep(key, at):
+            bit = key & np.uint64((len(bits) << 6) - 1)
+            hit = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+            found.append(key[hit])
+            where.append(at[hit])
+
+        for n in of["exact"]:
+            key, at = phrases(words, first, n)
+            keep(key, at)
+            key, at = found.pop(), where.pop()
+            _, one = np.unique(np.stack([key, rows[at].astype(np.uint64)]), axis=1, return_index=True)  # one place is enough
+            found.append(key[one])
+            where.append(at[one])
+        for kind, starts in (("short", np.arange(len(words))), ("long", anchors(words))):
+            if of[kind]:
+                for made in keys(words, starts, first[rows[starts] + 1], of[kind]).values():
+                    for row in made:
+                        keep(row, starts)
+        key, at = np.concatenate(found), np.concatenate(where)
+        owner = rows[at]
         take = pa.array(owner)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), block.column("doc_id").take(take), block.column("fp").take(take), pa.array((where - first[owner]).astype(np.int32))], ["key", "doc_id", "fp", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), block.column("doc_id").take(take), block.column("fp").take(take), pa.array((at - first[owner]).astype(np.int32))], ["key", "doc_id", "fp", "at"])
 
     return per_block(docs, run, "key long, doc_id long, fp long, at int")
 
@@ -192,11 +257,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS)
     distance), first_word (where that place begins, about) and similarity.
     ``docs`` has doc_id and text, ``items`` item_id and text.
     """
+    if max_edits > MAX_EDITS:
+        raise ValueError(f"windows and samples are made for at most {MAX_EDITS:.0%} of edits")
     items = documents(items, "item_id").where("doc_id is not null").withColumn("text", F.lower("text"))
     docs = documents(docs).where("doc_id is not null").withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text", F.lower("text"))
     windows = stored(item_windows(items))
     bitmap = _bitmap(windows)
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # some of SIZES
+    sizes = [(r["kind"], r["size"]) for r in windows.select("kind", "size").distinct().collect()]  # of the few that there are
     hits = candidates(docs, bitmap, sizes).join(windows, "key").select("doc_id", "fp", "item_id", (F.col("at") - F.col("place")).alias("start"))
     hits = hits.groupBy("doc_id", "fp", "item_id").agg(F.collect_set("start").alias("starts"))
     lists = hits.join(items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item")).distinct(), "item_id").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("found"))

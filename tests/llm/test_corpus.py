@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from addrweave.llm import bpe, queries
+from addrweave.llm import bpe, decontaminate, queries
 from addrweave.llm.decontaminate import find_leaks
 from addrweave.llm.fmindex import substring_dedup
 from addrweave.llm.language import language_id
@@ -102,6 +102,51 @@ def test_edited_leak(spark):
     assert sorted((r["doc_id"], r["edits"]) for r in got) == [(0, 3), (1, 3), (2, 3)]
 
 
+def edited(item, times, draw, vocabulary):
+    words = list(item)
+    for _ in range(times):
+        kind, k = draw.integers(0, 3), int(draw.integers(0, len(words)))
+        if kind == 0:
+            words[k] = str(draw.choice(vocabulary))
+        elif kind == 1 and len(words) > 1:
+            del words[k]
+        else:
+            words.insert(k, str(draw.choice(vocabulary)))
+    return words
+
+
+def word_edits(item, words):
+    """Least edit distance of the item to a stretch of the words, by the textbook table."""
+    row = [0] * (len(words) + 1)
+    for k, x in enumerate(item, 1):
+        new = [k]
+        for j, w in enumerate(words, 1):
+            new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_of_all_lengths(spark):
+    """Every pair within a fifth of edits, by brute force; exact ones are never lost."""
+    draw = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(2000)]
+    some = lambda n: [str(w) for w in draw.choice(vocabulary, n)]
+    lengths = [1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 12, 14, 15, 16, 20, 24, 31, 40, 59, 100, 160]
+    items = {k: some(n) for k, n in enumerate(lengths)}
+    docs = {}
+    for k, item in items.items():
+        for part in (0, 0.1, 0.2):
+            for _ in range(2):
+                docs[len(docs)] = some(12) + edited(item, int(part * len(item)), draw, vocabulary) + some(12)
+    near = {(d, k): word_edits(item, words) for d, words in docs.items() for k, item in items.items()}
+    near = {pair: e for pair, e in near.items() if e <= int(0.2 * len(items[pair[1]]))}
+    as_table = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(as_table(docs, "doc_id"), as_table(items, "item_id")).collect()}
+    assert got.items() <= near.items()
+    assert {p for p, e in near.items() if e == 0} <= set(got)
+    assert len(got) >= decontaminate.TARGET * len(near) and len(near) > 100
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
@@ -269,6 +314,21 @@ def test_language(spark):
     assert (held.lang == held.lang_pred).mean() > 0.85
 
 
+def test_language_needs_a_letter(spark):
+    rows = [(k, "plain words of a text", "en") for k in range(8)] + [(10, "½ ² Ⅷ ①", None), (11, "12 %", "en"), (12, "ª", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[10], got[11], got[12]) == ("und", "und", "en")
+
+
+def test_many_languages(spark):
+    draw = np.random.default_rng(6)
+    word = lambda: bytes(draw.integers(97, 123, 7).tolist()).decode()
+    known = {f"l{k:03}": [word() for _ in range(40)] for k in range(300)}
+    rows = [(k, " ".join(draw.choice(known[f"l{k % 300:03}"], 60)), f"l{k % 300:03}") for k in range(900)]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)).where("not held_out").collect()
+    assert sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got) > 0.9 * len(got)
+
+
 def test_language_behind_equal_openings(spark):
     draw = np.random.default_rng(4)
     word = lambda: bytes(draw.integers(97, 123, 6).tolist()).decode()
