@@ -111,6 +111,11 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all stretches, one stretch after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values, by doubling."""
     n = len(values)
