@@ -6,18 +6,26 @@ Equal vectors are folded to one node first; only the ``k + 1`` smallest ids of a
 node can ever be among a query's nearest.
 
 A tree splits at the median of the projections on the line through two random
-points.  The planes are fitted on a bounded sample (``SAMPLE`` nodes, by hash),
-and every vector is then routed to its leaf in every tree.  The depth follows
-the number of vectors until the sample has ``LEAST`` points a leaf or ``LEAVES``
-are no more than ``SHARE`` of all leaves; from there leaves grow with the table,
-so that a query's share of the table does not shrink.  A query walks all trees
-through one priority queue, the best margin first, until it holds ``LEAVES``
-leaves; in each of these its products with the leaf's original vectors are
-computed exactly, in double precision, and the best of all leaves are its answer.
+points.  The planes are fitted on a bounded sample (about ``SAMPLE`` nodes, by
+hash), and every vector is then routed to its leaf in every tree.  The depth
+follows the number of vectors until the sample has ``LEAST`` points a leaf or
+``LEAVES`` are no more than ``SHARE`` of all leaves; from there leaves grow with
+the table, so that a query's share of the table does not shrink.  A query walks
+all trees through one priority queue, the best margin first, until it holds
+``LEAVES`` leaves.
+
+Leaves are packed into *buckets* of about ``BUCKET`` vectors, and a leaf that holds
+more is dealt to several; so a task's group is bounded at any size of the table,
+and a query's vector goes once to each bucket that holds leaves of its own.  A
+bucket gives each query its best nodes of all these leaves.  The scores of the
+best ``k + 1`` of all buckets (and ``SPARE`` more, for ties) are computed again from the original vectors, in
+double precision and component by component, so equal vectors have equal scores
+wherever they were met.
 
 Null vectors, those with null or non-finite components, of length zero, or of
-another dimension than the most common one, take no part.  Rows of one vec_id
-count once.  With fewer candidates than ``k`` all found are returned.
+another dimension than the most common one, take no part.  Of the vectors of one
+vec_id one counts (the least digest).  With fewer candidates than ``k`` all found
+are returned.  Jobs run when the function is called.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 TREES = 16
 LEAF = 128
@@ -37,6 +45,8 @@ LEAST = 8
 SAMPLE = 20_000
 LEAVES = 320
 SHARE = 1 / 26
+BUCKET = 40_000
+SPARE = 10
 
 
 def depth_for(n: int) -> int:
@@ -48,8 +58,10 @@ def depth_for(n: int) -> int:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (array<double>) of the rows that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    """vec_id and vector (float or double) of the rows that take part."""
+    kind = vectors.select(vector_col).schema[0].dataType.simpleString()
+    vector = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
     size = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -118,19 +130,20 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, id_col: str = "v
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).withColumn("digest", F.md5(F.to_json("vector")))
-    rows = rows.select("vec_id", "digest", "vector")
+    kind = rows.schema["vector"].dataType.simpleString()
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("digest", "vector")).alias("x")).select("vec_id", "x.digest", "x.vector")
     nodes = stored(rows.groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("vector").alias("vector")))
     # of each node the k + 1 smallest ids: first among each of 64 parts, then among what is left
     salted = Window.partitionBy("digest", "salt").orderBy("vec_id")
     whole = Window.partitionBy("digest").orderBy("vec_id")
-    ids = rows.select("digest", "vec_id").distinct()
-    ids = ids.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
+    ids = rows.select("digest", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     ids = ids.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1).select("digest", "vec_id")
     members = ids.join(nodes.select("digest", "node"), "digest").select("node", "vec_id")
 
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    facts = nodes.agg(F.count("*").alias("n"), F.max(product("vector", "vector")).alias("square")).first()
     n, square = facts["n"], facts["square"] or 0.0
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").toPandas()["vector"]
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).select("vector").toPandas()["vector"]  # about SAMPLE, 2 * SAMPLE at most
 
     def lifted(points: np.ndarray) -> np.ndarray:
         more = np.sqrt(np.maximum(square - (points**2).sum(1), 0))
@@ -144,46 +157,107 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, id_col: str = "v
         for batch in batches:
             if batch.num_rows:
                 leaf = shared.value.leaves(lifted(_matrix(batch.column("vector"))))
-                take = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
                 cell = (np.arange(TREES)[None, :] << depth) + leaf
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), batch.column("node").take(take), batch.column("vector").take(take)], ["cell", "node", "vector"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TREES, pa.int32()), pa.array(cell.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vector"), lists], ["node", "vector", "cells"])
+
+    routed = stored(nodes.select("node", "vector").mapInArrow(route, f"node long, vector {kind}, cells array<int>"))
+    sizes = np.zeros(TREES << depth, np.int64)
+    for row in routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # TREES << depth rows at most
+        sizes[row["cell"]] = row["count"]
+    parts = np.maximum(-(-sizes // BUCKET), 1)  # buckets of a large leaf
+    base = np.where(parts > 1, 0, np.cumsum(np.where(parts > 1, 0, sizes)) // BUCKET)
+    small = int(base.max(initial=0)) + 1
+    base = np.where(parts > 1, small + np.cumsum(np.where(parts > 1, parts, 0)) - parts, base)
+    buckets = int((base + parts).max(initial=1))
+    dealt = spark.sparkContext.broadcast((base, parts))  # as many entries as leaves
+
+    def deal(batches):
+        for batch in batches:
+            base, parts = dealt.value
+            cells = np.array(batch.column("cells").flatten()).reshape(batch.num_rows, TREES)
+            node = np.array(batch.column("node"))
+            bucket = base[cells] + (node[:, None] * 0x9E3779B1 >> 12) % parts[cells]
+            yield from _packed(batch, bucket.ravel(), np.repeat(np.arange(batch.num_rows), TREES), cells.ravel(), "node")
 
     def walk(batches):
         for batch in batches:
             if batch.num_rows:
+                base, parts = dealt.value
                 flat = _matrix(batch.column("vector"))
                 plain = np.hstack([flat, np.zeros((len(flat), 1))])
-                cells = [[(t << depth) + leaf for t, leaf in shared.value.search(p, LEAVES)] for p in plain]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, cells))))
-                yield pa.RecordBatch.from_arrays([pa.array([c for x in cells for c in x], pa.int64()), batch.column("node").take(take), batch.column("vector").take(take)], ["cell", "query", "vector"])
+                found = [np.array([(t << depth) + leaf for t, leaf in shared.value.search(p, LEAVES)], np.int64) for p in plain]
+                cell, row = np.concatenate(found), np.repeat(np.arange(batch.num_rows), list(map(len, found)))
+                times = parts[cell]
+                part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                cell, row = np.repeat(cell, times), np.repeat(row, times)
+                yield from _packed(batch, base[cell] + part, row, cell, "node")
 
     asked = rows.where(F.col("vec_id") % divisor == 0).select("digest", F.col("vec_id").alias("query_id")).distinct()
     asking = nodes.join(asked.select("digest").distinct(), "digest").select("node", "vector")
-    index = nodes.select("node", "vector").mapInArrow(route, "cell long, node long, vector array<double>")
-    walks = asking.mapInArrow(walk, "cell long, query long, vector array<double>")
+    schema = f"bucket long, node long, vector {kind}, cells array<int>"
+    index, walks = routed.mapInArrow(deal, schema), asking.mapInArrow(walk, schema)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
             a, b = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
-            queries, near = left.column("query").to_numpy(), right.column("node").to_numpy()
-            order = np.argsort(near)
-            near, b = near[order], b[order]
-            for part in range(0, len(a), 256):
-                scores = a[part : part + 256] @ b.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                out[0].append(np.repeat(queries[part : part + 256], best.shape[1]))
-                out[1].append(near[best].ravel())
-                out[2].append(np.take_along_axis(scores, best, 1).ravel())
-        return pa.table({"query": np.concatenate(out[0]), "node": np.concatenate(out[1]), "score": np.concatenate(out[2])})
-
-    found = walks.groupBy("cell").cogroup(index.groupBy("cell")).applyInArrow(rerank, "query long, node long, score double")
+            near = right.column("node").to_numpy()
+            ours, theirs = _by_cell(left), _by_cell(right)
+            for cell, who in ours.items():
+                held = theirs.get(cell)
+                held = held if held is None else held[np.argsort(near[held])]  # ties: the smaller id
+                for part in range(0, len(who) if held is not None else 0, 256):
+                    some = who[part : part + 256]
+                    scores = a[some] @ b[held].T
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, : k + SPARE + 1]
+                    out[0].append(np.repeat(some, best.shape[1]))
+                    out[1].append(held[best].ravel())
+                    out[2].append(np.take_along_axis(scores, best, 1).ravel())
+        query, place, score = map(np.concatenate, out)
+        order = np.lexsort((-score, place, query))  # once each: a query meets a node in several trees
+        query, place, score = query[order], place[order], score[order]
+        one = np.append(True, (query[1:] != query[:-1]) | (place[1:] != place[:-1]))[: len(query)]
+        query, place, score = query[one], place[one], score[one]
+        order = np.lexsort((near[place] if len(place) else place, -score, query))
+        query, place, score = query[order], place[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        top = rank <= k + SPARE
+        return pa.table({"query": left.column("node").to_numpy()[query[top]], "node": near[place[top]] if len(query) else place, "score": score[top]})
+
+    found = walks.repartition(buckets, "bucket").groupBy("bucket").cogroup(index.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(rerank, "query long, node long, score double")
     found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    best = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k + 1).drop("r")
+    best = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k + 1 + SPARE).select("query", "node")
+    best = best.join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("x")), "query").join(nodes.select("node", F.col("vector").alias("y")), "node")
+    best = best.select("query", "node", product("x", "y").alias("score"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = best.join(members, "node").withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-    lists = lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
+    lists = stored(lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list")))
     each = asked.join(nodes.select("digest", F.col("node").alias("query")), "digest").join(lists, "query")
     each = each.select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
-    return each.select("query_id", F.posexplode("list").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    out = stored(each.select("query_id", F.posexplode("list").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score"))
+    discard(nodes, routed, lists)
+    return out
+
+
+def _packed(batch: pa.RecordBatch, bucket: np.ndarray, row: np.ndarray, cell: np.ndarray, name: str):
+    """One row for each bucket of each row of the batch, with the row's cells in that bucket."""
+    order = np.lexsort((cell, row, bucket))
+    bucket, row, cell = bucket[order], row[order], cell[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+    begin = np.flatnonzero(new)
+    cells = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(cell.astype(np.int32)))
+    for a in range(0, len(begin), 4096):
+        take = pa.array(row[begin[a : a + 4096]])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[a : a + 4096]]), batch.column(name).take(take), batch.column("vector").take(take), cells.slice(a, 4096)], ["bucket", "node", "vector", "cells"])
+
+
+def _by_cell(table: pa.Table) -> dict[int, np.ndarray]:
+    """The rows of a bucket that each cell holds."""
+    lists = pa.concat_arrays(table.column("cells").chunks)
+    cell = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(cell, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    return {int(cell[order[c]]): part for c, part in zip(cuts, np.split(row[order], cuts[1:]), strict=True)}
