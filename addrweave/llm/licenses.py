@@ -3,13 +3,16 @@
 All rolling word k-grams of the texts are joined to the k-grams of license
 templates.  A shared gram votes for its diagonal, the offset of the text's word
 from the template's word: a whole license text keeps one diagonal, an edit moves
-to a neighbouring one.  Votes are summed by diagonal, diagonals at most
-``NEIGHBOUR`` apart are merged, and a merged span is verified by the longest
-common subsequence of its words with the template's words.
+to a neighbouring one.  Votes are summed by diagonal.  Diagonals of a template at
+most half of its words apart (``NEIGHBOUR`` at least) are merged, so insertions up
+to that length are bridged, and a merged span with as many votes as the wanted
+similarity leaves at least is verified by the longest common subsequence of its
+words with the template's words.
 
-The templates are a fixed list, so their gram table is a few hundred rows and is
-broadcast; the texts' grams are first held against a fixed 64 KB bitmap of the
-templates' grams, since nearly all would find no partner in the join.
+The templates' gram table has at most as many rows as the templates have words.
+A fixed bitmap of 2**BITMAP_BITS places keeps most grams without a partner from
+the join; what it lets pass by chance finds no partner there.  Texts are read
+again for the verification of the documents that have spans.
 
 Nulls and empty texts: no words, no labels.  Repeated rows get equal results.
 """
@@ -23,12 +26,13 @@ from pyspark.sql import functions as F
 
 from . import text
 from .common import documents, per_block
+from .license_texts import LINES, OPENINGS, TEXTS
 
 K = 3
 NEIGHBOUR = 3
-GAP = 32
-MIN_VOTES = 0.5
+BITMAP_BITS = 20
 MIN_SIMILARITY = 0.8
+BROADCAST_ROWS = 100_000
 
 #: Phrases and labels of the base scan.
 PHRASES = {
@@ -38,21 +42,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Labels and wordings of well-known licenses and license lines.
-TEMPLATES = [
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("mit-line", "Released under the MIT License."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("cc-by-4.0", "This work is licensed under CC BY 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-]
+TEMPLATES = [*LINES, *OPENINGS, *TEXTS]
 
 
 def _words(texts: pa.Array):
@@ -98,32 +88,22 @@ def base_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
     return per_block(docs, run, "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
-def regions(docs: DataFrame, grams: np.ndarray) -> DataFrame:
-    """Stretches of words around the grams that some template may share."""
-    bitmap = np.zeros(1 << 16, bool)
-    bitmap[grams & np.uint64(0xFFFF)] = True
+def hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
+    """doc_id, key, gram and at (word) of the texts' grams that a bitmap of ``grams`` lets pass."""
+    mask = np.uint64((1 << BITMAP_BITS) - 1)
+    bitmap = np.zeros(1 << BITMAP_BITS, bool)
+    bitmap[grams & mask] = True
 
     def run(block):
         words, first = _words(block.column("text"))
         rows = text.owners(first)
         found = text.grams(words, K)
-        hit = np.flatnonzero(bitmap[found & np.uint64(0xFFFF)])
-        hit = hit[np.isin(found[hit], grams)]
-        hit = hit[rows[hit] == rows[hit + K - 1]] if len(hit) else hit
-        new = np.ones(len(hit), bool)
-        new[1:] = (np.diff(hit) > GAP) | (np.diff(rows[hit]) != 0)
-        begin, end = hit[new], hit[np.append(new[1:], True)[: len(hit)]] + K if len(hit) else hit
-        owner = rows[begin] if len(hit) else hit
-        begin, end = np.maximum(begin - GAP, first[owner]), np.minimum(end + GAP, first[owner + 1])
-        size = end - begin
-        cuts = np.cumsum([0, *size])
-        at = np.repeat(begin - cuts[:-1], size) + np.arange(cuts[-1])
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words[at].view(np.int64)))
-        take = pa.array(owner)
-        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(begin - first[owner]), lists], ["doc_id", "key", "start", "words"])
-
-    found = per_block(docs, run, "doc_id long, key long, start long, words array<long>")
-    return found.dropDuplicates(["doc_id", "key", "start"])
+        at = np.flatnonzero(bitmap[found & mask])
+        at = at[rows[at] == rows[at + K - 1]] if len(at) else at
+        take = pa.array(rows[at])
+        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(found[at].view(np.int64)), pa.array(at - first[rows[at]])], ["doc_id", "key", "gram", "at"])
+
+    return per_block(docs, run, "doc_id long, key long, gram long, at long")
 
 
 def _similar(words: np.ndarray, template: np.ndarray) -> float:
@@ -135,59 +115,55 @@ def _similar(words: np.ndarray, template: np.ndarray) -> float:
     return float(row[-1]) / len(template)
 
 
+def votes_needed(words: int, similarity: float = MIN_SIMILARITY) -> int:
+    """Shared grams that a text as similar as wanted has at least: a wrong word spoils K grams."""
+    return max(1, words - K + 1 - K * int((1 - similarity) * words + 1e-9))
+
+
 def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified license spans: doc_id, key, label, start (word), similarity."""
     spark = docs.sparkSession
     sequences = _template_words(templates)
-    table = [(int(g), t, p, len(s) - K + 1) for t, s in enumerate(sequences) for p, g in enumerate(text.grams(s, K).view(np.int64))]
-    grams = np.unique(np.array([row[0] for row in table], np.int64)).view(np.uint64)
-    positions = spark.createDataFrame(table, "gram long, template int, place int, grams int")
-    found = regions(docs, grams)
-
-    def rolled(batches):
-        for batch in batches:
-            lists = batch.column("words")
-            values, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            parts = [text.grams(values[a:b], K).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            out = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("start"), batch.column("words"), out], ["doc_id", "key", "start", "words", "grams"])
-
-    made = found.mapInArrow(rolled, "doc_id long, key long, start long, words array<long>, grams array<long>")
+    table = [(int(g), t, p, votes_needed(len(s)), max(NEIGHBOUR, len(s) // 2)) for t, s in enumerate(sequences) for p, g in enumerate(text.grams(s, K).view(np.int64))]
+    positions = spark.createDataFrame(table, "gram long, template int, place int, needed int, near int")
+    if len(table) <= BROADCAST_ROWS:
+        positions = F.broadcast(positions)
     votes = (
-        made.select("doc_id", "key", "start", F.posexplode("grams").alias("at", "gram"))
-        .join(F.broadcast(positions), "gram")  # as large as the fixed list of templates
-        .groupBy("doc_id", "key", "start", "template", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.countDistinct("place").alias("votes"), F.max("grams").alias("grams"))
+        hits(docs, np.array([row[0] for row in table], np.int64).view(np.uint64))
+        .distinct()  # repeated rows vote once
+        .join(positions, "gram")
+        .groupBy("doc_id", "key", "template", "needed", "near", (F.col("at") - F.col("place")).alias("diagonal"))
+        .agg(F.countDistinct("place").alias("votes"))
     )
-    each = Window.partitionBy("doc_id", "key", "start", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(each) > NEIGHBOUR
+    each = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(each) > F.col("near")
     merged = (
         votes.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(each))
-        .groupBy("doc_id", "key", "start", "template", "cluster")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.max("grams").alias("grams"))
-        .where(F.col("votes") >= F.ceil(F.col("grams") * MIN_VOTES))
-        .groupBy("doc_id", "key", "start")
+        .groupBy("doc_id", "key", "template", "cluster", "needed")
+        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+        .where("votes >= needed")
+        .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
     )
 
-    def verify(batches):
-        for batch in batches:
-            out = []
-            for doc_id, key, start, words, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "start", "words", "spans")), strict=True):
-                words = np.array(words, np.int64).view(np.uint64)
-                for c in candidates:
-                    template = sequences[c["template"]]
-                    a = max(0, c["low"])
-                    alike = _similar(words[a : max(0, c["high"]) + len(template)], template)
-                    if alike >= MIN_SIMILARITY:
-                        out.append((doc_id, key, templates[c["template"]][0], start + a, alike))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "label", "start", "similarity"])
-
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "key", "start")]
-    both = found.alias("a").join(merged.alias("b"), same[0] & same[1] & same[2]).select("a.doc_id", "a.key", "a.start", "a.words", "b.spans")
-    return both.mapInArrow(verify, "doc_id long, key long, label string, start long, similarity double")
+    def verify(block):
+        words, first = _words(block.column("text"))
+        out = []
+        for r, (doc_id, key, found) in enumerate(zip(*(block.column(c).to_pylist() for c in ("doc_id", "key", "spans")), strict=True)):
+            own = words[first[r] : first[r + 1]]
+            for span in found:
+                template = sequences[span["template"]]
+                a = max(0, span["low"])
+                alike = _similar(own[a : max(0, span["high"]) + len(template)], template)
+                if alike >= MIN_SIMILARITY:
+                    out.append((doc_id, key, templates[span["template"]][0], a, alike))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "label", "start", "similarity"])
+
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
+    both = docs.alias("a").join(merged.alias("b"), same).select("a.doc_id", "a.key", "a.text", "b.spans")
+    return per_block(both, verify, "doc_id long, key long, label string, start long, similarity double").distinct()
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
