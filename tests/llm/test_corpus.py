@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from addrweave.llm import bpe, decontaminate, queries
 from addrweave.llm.decontaminate import find_leaks
 from addrweave.llm.fmindex import substring_dedup
 from addrweave.llm.language import language_id
-from addrweave.llm.licenses import license_scan
+from addrweave.llm.license_texts import TEXTS
+from addrweave.llm.licenses import PHRASES, license_scan
 from addrweave.llm.mixing import score_text
 from addrweave.llm.neardup import near_duplicates
 from addrweave.llm.pfp import byte_dedup
@@ -250,6 +252,36 @@ def test_neighbours(spark):
     assert hit / (20 * len(asked)) >= 0.9
 
 
+def test_neighbours_are_ranked(spark):
+    """With every leaf searched: ranks, ties and scores against all products."""
+    draw = np.random.default_rng(9)
+    x = draw.integers(-2, 3, (300, 4)).astype(np.float32)
+    x[250:] = x[:50]
+    x = x[(x != 0).any(1)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(40, [9.0, 9.0, 9.0, 9.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("cells", F.lit(2)), k=7).toPandas()
+    assert not got.duplicated(["query_id", "vec_id"]).any()
+    of = {k: np.array(v) for k, v in rows[:-1]}
+    if got[got.vec_id == 40].score.max() > 20:  # one of the two vectors of this id counts
+        of[40] = np.full(4, 9.0)
+    for q, part in got.groupby("query_id"):
+        best = sorted((-float(of[q] @ v), k) for k, v in of.items() if k != q)[:7]
+        part = part.sort_values("rank")
+        assert part["rank"].tolist() == list(range(1, 8))
+        assert list(zip((-part.score).tolist(), part.vec_id.tolist(), strict=True)) == best
+    assert set(got.query_id) == {k for k in of if k % 20 == 0}
+
+
+def test_large_leaves_are_dealt(spark, monkeypatch):
+    from addrweave.llm import rptrees as R
+
+    x = np.random.default_rng(3).normal(size=(1500, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = sorted(map(tuple, nearest(df).collect()))
+    monkeypatch.setattr(R, "BUCKET", 37)
+    assert sorted(map(tuple, nearest(df).collect())) == plain
+
+
 def test_searched_share_of_larger_tables():
     from addrweave.llm import rptrees as R
 
@@ -305,7 +337,38 @@ def test_licenses(spark):
     texts = [(1, "x the MIT License and mit license. Apache License"), (2, "permission is hereby granted free of charge to any person getting a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"), (3, "nothing")]
     got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 2, 7, "apache,mit")
-    assert (got[2]["labels"], got[2]["base_labels"], got[3]["labels"]) == ("mit-grant", "", "")
+    assert (got[2]["labels"], got[2]["base_labels"], got[3]["labels"]) == ("mit", "", "")
+
+
+def test_edited_licenses(spark):
+    """A license is found with words changed all over it and with fifty words put in."""
+    draw = np.random.default_rng(4)
+    some = lambda n: " ".join(f"x{k}" for k in draw.integers(0, 500, n))
+    rows, wanted = [], {}
+    for k, (label, body) in enumerate(TEXTS):
+        words = body.split()
+        changed = [w if j % 9 else "changed" for j, w in enumerate(words)]
+        middle = len(words) // 2
+        for part, own in enumerate((words, changed, [*words[:middle], *some(50).split(), *words[middle:]])):
+            if part < 2 or len(words) > 110:
+                rows.append((10 * k + part, f"{some(30)} {' '.join(own)} {some(30)}"))
+                wanted[10 * k + part] = label
+    rows += [(900 + k, some(400)) for k in range(5)]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in wanted.items():
+        assert label in got[k]["labels"].split(","), (k, label)
+    assert all(got[k]["labels"] == "" and got[k]["score"] == 0 for k in range(900, 905))
+
+
+def test_license_base_columns(spark, docs):
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(ASCII))
+    for r in rows(spark, "op9_licenses").to_dict("records"):
+        words = split(docs[r["doc_id"]])
+        places = [(k, label) for phrase, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted({label for _, label in places})))
+        if places:
+            assert (r["first_word"], r["last_word"]) == (min(places)[0], max(places)[0])
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
 def test_language(spark):
