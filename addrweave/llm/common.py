@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text
 
+BITMAP_BITS = 28
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -35,10 +37,14 @@ def per_block(df: DataFrame, function, schema: str, column: str = "text") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (a local one only where none is set)."""
+    """The folder that driver and executors share.
+
+    Where none is set: beside the warehouse's tables, on one machine a new folder.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
+        alone = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="spark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -61,6 +67,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of 64-bit keys by their low bits, 16 times as many as keys and 2**BITMAP_BITS at most.
+
+    However many keys there are, it stays a filter that loses none of them.
+    """
+    size = min(BITMAP_BITS, max(16, (16 * keys.count()).bit_length()))
+    word = F.shiftright(F.col(column).bitwiseAND((1 << size) - 1), 6)
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))"))
+    rows = keys.groupBy(word.alias("word")).agg(bits.alias("bits")).toPandas()  # as many as the bitmap has words at most
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later job reads."""
     for df in tables:

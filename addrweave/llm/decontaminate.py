@@ -23,7 +23,7 @@ A walk sees nothing but its window, so an unedited copy is always found.  Steps
 samples of each size are such that at least ``TARGET`` of the items with as many
 edits as are allowed get a candidate (tests measure it for items of all lengths).
 
-Of the texts' keys only those in a bitmap of the items' keys (16 bits a key, 64 MB
+Of the texts' keys only those in a bitmap of the items' keys (16 bits a key, 32 MB
 at most) leave the task; an ordinary join then finds the items.  Candidates that
 lack more of an item's words than edits are allowed can't be leaks; for all others
 the edit distance of the item to the best place around the candidate is computed
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import discard, documents, per_block, stored
+from .common import bitmap, discard, documents, per_block, stored
 
 EXACT = 4
 LONG = 15
@@ -53,7 +53,6 @@ LADDER = (4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128)
 ANCHORS = 4
 WALKS = 2
 TARGET = 0.95
-BITMAP_BITS = 29
 MAX_EDITS = 0.2
 PAIRS = 4096
 
@@ -165,31 +164,18 @@ def item_windows(items: DataFrame) -> DataFrame:
     return per_block(items, run, "key long, item_id long, place int, size int, kind string").distinct()
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of the items' keys, about 16 times as many as keys and 2**BITMAP_BITS at most."""
-    size = min(BITMAP_BITS, max(16, (16 * windows.count()).bit_length()))
-    bit = F.col("key").bitwiseAND((1 << size) - 1)
-    one = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    rows = windows.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()  # as many words as the bitmap has at most
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[str, int]]) -> DataFrame:
+def candidates(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[str, int]]) -> DataFrame:
     """key, doc_id, fp, at (word) of the texts' windows that the bitmap lets pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     of = {kind: sorted(size for k, size in sizes if k == kind) for kind in ("exact", "short", "long")}
 
     def run(block):
-        bits = shared.value
         words, first = _words(block.column("text"))
         rows = text.owners(first)
         found, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
         def keep(key, at):
-            bit = key & np.uint64((len(bits) << 6) - 1)
-            hit = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+            hit = text.passes(shared.value, key)
             found.append(key[hit])
             where.append(at[hit])
 
@@ -262,9 +248,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS)
     items = documents(items, "item_id").where("doc_id is not null").withColumn("text", F.lower("text"))
     docs = documents(docs).where("doc_id is not null").withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text", F.lower("text"))
     windows = stored(item_windows(items))
-    bitmap = _bitmap(windows)
     sizes = [(r["kind"], r["size"]) for r in windows.select("kind", "size").distinct().collect()]  # of the few that there are
-    hits = candidates(docs, bitmap, sizes).join(windows, "key").select("doc_id", "fp", "item_id", (F.col("at") - F.col("place")).alias("start"))
+    hits = candidates(docs, bitmap(windows, "key"), sizes).join(windows, "key").select("doc_id", "fp", "item_id", (F.col("at") - F.col("place")).alias("start"))
     hits = hits.groupBy("doc_id", "fp", "item_id").agg(F.collect_set("start").alias("starts"))
     lists = hits.join(items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item")).distinct(), "item_id").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("found"))
     texts = docs.join(lists.withColumnsRenamed({"doc_id": "d", "fp": "f"}), (F.col("doc_id") == F.col("d")) & (F.col("fp") == F.col("f"))).select("doc_id", "text", "found")

@@ -31,8 +31,9 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     """Suffixes in the order of their first ``depth`` symbols, and each one's rank.
 
     What follows the next symbol 0 is not compared.  As many symbols as fit into
-    63 bits make the first rank; from there the compared length doubles, up to
-    exactly ``depth``: suffixes with as many equal symbols have equal ranks.
+    63 bits make the first order; from there the compared length doubles, up to
+    exactly ``depth``, and only suffixes that equal another one so far are sorted
+    again.  A rank is the first place of all suffixes that are equal.
     """
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
@@ -43,20 +44,24 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     for k in range(1, have):
         key <<= width
         key[: max(0, n - k)] |= np.where(left[: max(0, n - k)] > k, symbols[k:], 0)
-    while True:
-        order = np.argsort(key)
-        key = key[order]
-        new = np.empty(n, np.int64)
-        new[:1] = 0
-        np.cumsum(key[1:] != key[:-1], out=new[1:])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if have >= depth or rank[order[-1]] == n - 1:
-            return order, rank
+    order = np.argsort(key)
+    key, rank, groups = key[order], np.empty(n, np.int64), -1
+    at = np.arange(n)  # open places of the order
+    while len(at):
+        new = np.append(True, key[1:] != key[:-1])
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[order[at]] = first
+        if have >= depth or int(new.sum()) == groups:  # nothing was split: longer symbols split nothing either
+            break
+        some = ~(new & np.append(new[1:], True))
+        at, first, groups = at[some], first[some], int((new & some).sum())
         step = min(have, depth - have)
-        key = rank * (n + 1)
-        key[: max(0, n - step)] += np.where(left[: max(0, n - step)] > step, rank[step:] + 1, 0)
+        suffix = order[at]
+        key = first * (n + 1) + np.where(left[suffix] > step, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[at], key = suffix[by], key[by]
         have += step
+    return order, rank
 
 
 class WaveletMatrix:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import discard, stored
+from .common import bitmap, discard, stored
 
 SALTS = 16
 SHARD_SYMBOLS = 1 << 18
@@ -95,12 +95,19 @@ def _runs(unit: str, body: pa.Array, window: int, gram: int):
     return least[begin], row, begin - first[row], end - begin
 
 
-def runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
-    """m (minimizer), fp (of the text) and at (first window << 31 | windows) of every run."""
+def runs(docs: DataFrame, unit: str, window: int, gram: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """m (minimizer), fp (of the text) and at (first window << 31 | windows) of every run.
+
+    With a bitmap only of those runs whose minimizer it lets pass.
+    """
+    shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for block in text.blocks(batches, "__body"):
             m, row, start, n = _runs(unit, block.column("__body"), window, gram)
+            if shared is not None:
+                hit = text.passes(shared.value, m)
+                m, row, start, n = m[hit], row[hit], start[hit], n[hit]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), block.column("__fp").take(take), pa.array(start << 31 | n)], ["m", "fp", "at"])
 
@@ -140,9 +147,9 @@ def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     Only the smallest document of each text is cut; its exact copies are judged
     by ``copies``.
     """
-    every = runs(docs, unit, window, gram)
-    shared = stored(every.groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("m"))
-    met = every.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at")).alias("runs"))
+    shared = stored(runs(docs, unit, window, gram).groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("m"))
+    some = runs(docs, unit, window, gram, bitmap(shared, "m"))  # and some by chance, which the join drops
+    met = some.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at")).alias("runs"))
     met = stored(met.join(_lowest_of_text(docs).select("doc", "fp"), "fp"))
     texts = docs.select("__doc", "__fp", "__body").join(met, (F.col("__fp") == F.col("fp")) & (F.col("__doc") == F.col("doc")))
 
@@ -191,7 +198,7 @@ def _fold(df: DataFrame, last: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
-    """__doc, __fp and starts (lists) of windows that also start in a smaller doc.
+    """__doc, __fp and starts of windows that also start in a smaller doc (stretches: at, n).
 
     ``lowest(contents, docs)`` gives, for each segment of a shard, the smallest
     doc_id of each of its windows.  ``docs`` comes from ``keyed``.
@@ -208,29 +215,33 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
         contents = table.column("content").combine_chunks()
         lists = lowest(contents.chunk(0) if isinstance(contents, pa.ChunkedArray) else contents, table.column("doc").to_numpy())
         low, cuts = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        n = np.diff(cuts)
-        kept = low < np.repeat(table.column("last").to_numpy(), n)  # windows that repeat in some document
-        k = np.arange(len(low)) - np.repeat(cuts[:-1], n)
-        cuts = np.concatenate([[0], np.cumsum(kept)])[cuts]
-        found = pa.StructArray.from_arrays([pa.array(k[kept].astype(np.int32)), pa.array(low[kept])], ["k", "low"])
+        new = np.append(True, low[1:] != low[:-1])[: len(low)]  # stretches of windows with one answer
+        new[cuts[:-1]] = True
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(low)))
+        row = np.searchsorted(cuts, begin, "right") - 1
+        kept = low[begin] < table.column("last").to_numpy()[row]  # they repeat in some document
+        begin, size, row = begin[kept], size[kept], row[kept]
+        cuts, k = np.searchsorted(row, np.arange(table.num_rows + 1)), begin - cuts[row]
+        found = pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(low[begin])], ["k", "n", "low"])
         out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "found": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)})
         return out.filter(pa.array(np.diff(cuts) > 0))
 
-    def indexed(segments_of: DataFrame) -> DataFrame:
+    def indexed(segments_of: DataFrame, shards: int) -> DataFrame:
         dealt = segments_of.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
-        return dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, found array<struct<k int, low long>>")
+        return dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, found array<struct<k int, n int, low long>>")
 
-    answers = [stored(indexed(folded.join(hot, "m", "left_anti")))]
+    answers = [stored(indexed(folded.join(hot, "m", "left_anti"), shards))]
     if not hot.isEmpty():
         every = stored(windows(folded.join(hot, "m", "left_semi"), unit, window))
-        each = indexed(_fold(every, "last")).select("s1", "s2", F.col("found")[0]["low"].alias("low"))
+        each = indexed(_fold(every, "last"), every.count() * window // SHARD_SYMBOLS + 1).select("s1", "s2", F.col("found")[0]["low"].alias("low"))
         back = every.select("s1", "s2", "p1", "p2", "k").join(each, ["s1", "s2"])
-        answers.append(stored(back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.collect_list(F.struct("k", "low")).alias("found"))))
+        answers.append(stored(back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.collect_list(F.struct("k", F.lit(1).alias("n"), "low")).alias("found"))))
         discard(every)
     discard(folded, hot)
     found = answers[0] if len(answers) == 1 else answers[0].union(answers[1])
     at = made.select("s1", "s2", "doc", "fp", "start").join(found, ["s1", "s2"])
-    starts = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.col("start") + x["k"])
+    starts = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((F.col("start") + x["k"]).alias("at"), x["n"].alias("n")))
     hits = at.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), starts.alias("starts")).where(F.size("starts") > 0)
     out = stored(hits.groupBy("__doc", "__fp").agg(F.flatten(F.collect_list("starts")).alias("starts")))
     discard(made, *answers)
@@ -260,7 +271,7 @@ def copies(docs: DataFrame) -> DataFrame:
 def marked(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
     """The documents with their repeated windows (``__starts``) and whether they are copies (``__copy``)."""
     marks = repeated(docs, unit, window, gram, lowest).withColumn("copy", F.lit(False))
-    whole = copies(docs).select("__doc", "__fp", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    whole = copies(docs).select("__doc", "__fp", F.array().cast("array<struct<at:int,n:int>>").alias("starts"), F.lit(True).alias("copy"))
     marks = marks.unionByName(whole).withColumnsRenamed({"starts": "__starts", "copy": "__copy"})
     return docs.join(marks, ["__doc", "__fp"], "left")
 
@@ -273,7 +284,8 @@ def covered(first: np.ndarray, lists: pa.Array, copy: pa.Array, window: int) ->
     np.subtract.at(edge, first[whole + 1], 1)
     lists = pa.concat_arrays([lists])
     counts = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
-    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(first[:-1], counts)
+    at, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    at += np.repeat(first[:-1], counts)
     edge += np.bincount(at, minlength=len(edge)).astype(np.int32)
-    edge -= np.bincount(at + window, minlength=len(edge)).astype(np.int32)
+    edge -= np.bincount(at + n + window - 1, minlength=len(edge)).astype(np.int32)
     return np.cumsum(edge[:-1]) > 0

@@ -106,6 +106,12 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys have their bit set."""
+    bit = keys & np.uint64((len(bitmap) << 6) - 1)
+    return np.flatnonzero(bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """Of each word, the row in the block that it stands in."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
