@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text
 
 BITMAP_BITS = 28
+_PART = 18
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -72,13 +74,19 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
     However many keys there are, it stays a filter that loses none of them.
     """
-    size = min(BITMAP_BITS, max(16, (16 * keys.count()).bit_length()))
-    word = F.shiftright(F.col(column).bitwiseAND((1 << size) - 1), 6)
-    bits = F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))"))
-    rows = keys.groupBy(word.alias("word")).agg(bits.alias("bits")).toPandas()  # as many as the bitmap has words at most
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    size = min(BITMAP_BITS, max(_PART, (16 * keys.count()).bit_length()))
+    bit = F.col(column).bitwiseAND((1 << size) - 1)
+
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _PART, bool)
+        bits[table.column("bit").to_numpy() & ((1 << _PART) - 1)] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    parts = keys.select(bit.alias("bit"), F.shiftright(bit, _PART).alias("part")).groupBy("part").applyInArrow(fill, "part long, bits binary")
+    out = np.zeros((1 << (size - _PART), 1 << (_PART - 6)), np.uint64)
+    for row in parts.toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint64)
+    return out.ravel()
 
 
 def discard(*tables: DataFrame) -> None:
