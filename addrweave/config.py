@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
@@ -26,3 +27,19 @@ class MatchConfig:
             ok = {"max_candidates": lambda v: isinstance(v, int) and 1 <= v <= 16, "clamp_confidence": lambda v: isinstance(v, bool)}.get(f.name, lambda v: isinstance(v, float) and 0 < v < 1)
             if not ok(value):
                 object.__setattr__(self, f.name, f.default)
+
+    @classmethod
+    def from_mapping(cls, values: Mapping[str, str], prefix: str = "") -> MatchConfig:
+        """Settings from texts such as ``os.environ``; names are those of the fields, upper-cased, behind the prefix.
+
+        What is missing, no number or out of range gives the default.
+        """
+        found = {}
+        for f in fields(cls):
+            text = values.get(f"{prefix}{f.name.upper()}")
+            if text is not None:
+                try:
+                    found[f.name] = text.lower() == "true" if isinstance(f.default, bool) else type(f.default)(text)
+                except ValueError:
+                    continue
+        return cls(**found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import cap
 from .vocab import WEIGHTS
 
 #: Component of each weighted comparison.
@@ -46,12 +47,26 @@ def structured_score(parts: dict[str, Column]) -> Column:
     return total
 
 
-def fuzzy_score(structured: Column, parts: dict[str, Column], zip_similarity: Column) -> Column:
+def zip_bonus(a: Column, b: Column) -> Column:
+    """0.05 where ZIPs are more than 0.8 alike; different ones of five bytes never are."""
+    long = F.greatest(F.octet_length(a), F.octet_length(b)) > 5
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 0.05).when(long & (similarity_ratio(a, b) > 0.8), 0.05).otherwise(0.0)
+
+
+def fuzzy_score(structured: Column, parts: dict[str, Column], bonus: Column) -> Column:
     base = F.lit(0.6) * structured + F.lit(0.25) * parts["street_name"] + F.lit(0.15) * parts["city"]
-    return F.least(F.when(zip_similarity > 0.8, base + F.lit(0.05)).otherwise(base), F.lit(1.0))
+    return F.least(base + bonus, F.lit(1.0))
 
 
 def breakdown(left: str, right: str, parts: dict[str, Column]) -> Column:
-    """array<struct<key, value, weight>> with one entry for each weighted component."""
-    value = lambda key: F.substring(F.concat(F.col(f"{left}.{FIELDS[key]}"), F.lit("|"), F.col(f"{right}.{FIELDS[key]}")), 1, 127)
-    return F.array(*[F.struct(F.lit(key).alias("key"), value(key).alias("value"), (F.lit(weight) * parts[key]).alias("weight")) for key, weight in WEIGHTS])
+    """array<struct<key, value, weight, left, right>> with one entry for each weighted component.
+
+    ``value`` is both sides with a bar between, 127 bytes at most.
+    """
+
+    def entry(key: str, weight: float) -> Column:
+        a, b = F.col(f"{left}.{FIELDS[key]}"), F.col(f"{right}.{FIELDS[key]}")
+        value = cap(F.concat(a, F.lit("|"), b), 127)
+        return F.struct(F.lit(key).alias("key"), value.alias("value"), (F.lit(weight) * parts[key]).alias("weight"), a.alias("left"), b.alias("right"))
+
+    return F.array(*[entry(key, weight) for key, weight in WEIGHTS])

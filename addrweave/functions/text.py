@@ -21,24 +21,53 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def cap(c: Column, n: int) -> Column:
+    """The first n bytes; a character that is cut in two goes."""
+    return F.regexp_replace(F.substring(c.cast("binary"), 1, n).cast("string"), "\ufffd+$", "")
+
+
 def clean_pasted_text(c: Column) -> Column:
     """One space between words; what stands before the first word with a leading digit goes."""
-    c = trim(F.substring(F.coalesce(c, F.lit("")), 1, MAX_TEXT))
+    c = trim(cap(F.coalesce(c, F.lit("")), MAX_TEXT))
     c = F.regexp_replace(c, r"\s+", " ")
     return F.regexp_replace(c, r"(?s)^(?![0-9]).*? (?=[0-9])", "")
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+_EVERY = (*EXPANSIONS, *ORDINALS)
+_WORDS = {short.strip(): long.strip() for short, long in _EVERY if short.endswith(" ")}
+_DOTTED = {short.strip(" ."): long.strip() for short, long in _EVERY if short.endswith(".")}
+
+
 def expand_abbreviations(c: Column) -> Column:
-    """Upper case between blanks, with abbreviations and numbered streets spelt out."""
-    c = F.substring(ascii_upper(F.concat(F.lit(" "), c, F.lit(" "))), 1, MAX_TEXT)
-    for short, long in (*EXPANSIONS, *ORDINALS):
-        c = F.replace(c, F.lit(short), F.lit(long))
-    return c
+    """Upper case between blanks, with abbreviations and numbered streets spelt out.
+
+    The replacements count the blanks around a word, and matches do not overlap:
+    of equal abbreviations in a row every second one stays.  A word that is cut
+    off at the end has no blank behind it.  Abbreviations with a dot need no
+    blank behind them.
+    """
+    c = cap(ascii_upper(F.concat(F.lit(" "), c, F.lit(" "))), MAX_TEXT)
+
+    def spelt(words: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            before = F.array_max(F.transform(F.slice(words, F.lit(1), i), lambda x, j: F.when(x != w, j)))  # the last other word
+            free = (F.get(words, i - 1) != w) | ((i - before) % 2 == 1)
+            whole = F.when((i < F.size(words) - 1) & free, F.try_element_at(_table(_WORDS), w))
+            dotted = F.when(F.contains(w, F.lit(".")), F.concat(F.try_element_at(_table(_DOTTED), F.substring_index(w, ".", 1)), F.substring(w, F.instr(w, ".") + 1, F.length(w))))
+            return F.coalesce(whole, dotted, w)
+
+        return F.array_join(F.transform(words, one), " ")
+
+    return F.transform(F.array(F.split(c, " ")), spelt)[0]  # split once
 
 
 def tokenize(c: Column) -> Column:
     """Words between blanks and commas, at most 64."""
-    words = F.transform(F.split(c, "[ ,]+"), lambda w: F.substring(trim(w), 1, MAX_TOKEN))
+    words = F.transform(F.split(c, "[ ,]+"), lambda w: cap(trim(w), MAX_TOKEN))
     return F.slice(F.filter(words, lambda w: w != ""), 1, MAX_TOKENS)
 
 
@@ -47,7 +76,7 @@ def canonicalize_zip(c: Column) -> Column:
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9-]", "")
     for _ in range(5):
         c = F.regexp_replace(c, "^([0-9]{0,4})-+", "$1")
-    return F.substring(c, 1, 31)
+    return F.substring(c, 1, 31)  # ASCII by now
 
 
 def is_zip_code(c: Column) -> Column:
@@ -56,12 +85,11 @@ def is_zip_code(c: Column) -> Column:
 
 def normalize_direction(c: Column) -> Column:
     """Short form of a direction; anything else as it is."""
-    table = F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair])
-    return F.substring(F.coalesce(F.try_element_at(table, c), c), 1, 15)
+    return cap(F.coalesce(F.try_element_at(_table(DIRECTIONS), c), c), 15)
 
 
 def normalize_state(c: Column) -> Column:
-    return F.substring(c, 1, 2)
+    return cap(c, 2)
 
 
 def strip_ordinal(c: Column) -> Column:

@@ -3,20 +3,25 @@
 A pair can reach a threshold only if the house numbers are equal, or the ZIPs
 are, or street and city are so similar that they alone reach the fuzzy score.
 These are three disjoint equi-joins: by number, by ZIP, and by pairs of distinct
-(street, city) values.
+(street, city) values, which drops what can't reach a threshold before it is
+scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.scores import breakdown, component_scores, fuzzy_score, similarity_ratio, structured_score
+from ..functions.scores import as_bytes, breakdown, component_scores, exact_match, fuzzy_score, similarity_ratio, structured_score, zip_bonus
 
 #: Locations up to so many rows are broadcast; larger tables are joined by shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Cities at least so similar are paired first, and streets inside the pairs.
+CITY = 0.5
+_SLACK = 1e-9
+
 
 def _sides(addresses: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = addresses.where("components is not null").select("record_id", F.col("components").alias("l"))
@@ -26,31 +31,81 @@ def _sides(addresses: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataF
     return left, right
 
 
+def _by_length(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """All pairs (x, y) whose lengths let them be that similar."""
+    size = F.octet_length("x")
+    reach = F.sequence(F.ceil(size * least - _SLACK).cast("int"), F.floor(size / least + _SLACK).cast("int"))
+    return a.withColumn("size", F.explode(reach)).join(b.withColumn("size", F.octet_length("y")), "size").select("x", "y")
+
+
+def _by_segment(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) that share a segment of y at about the same place.
+
+    With a similarity of ``least`` y is at most k = y / least * (1 - least) edits
+    away from x, so of its k + 1 segments one stands in x unedited, moved by k
+    bytes at most.
+    """
+    edits = F.floor(F.col("q") / least * (1 - least) + _SLACK).cast("int")
+    cut = lambda j: F.floor(j * F.col("q") / (F.col("k") + 1)).cast("int")
+    parts = lambda df: df.withColumn("k", edits).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("at", cut(F.col("j"))).withColumn("n", cut(F.col("j") + 1) - F.col("at"))
+    right = parts(b.withColumn("t", as_bytes(F.col("y"))).withColumn("q", F.length("t"))).select("y", "q", "j", F.substring("t", F.col("at") + 1, F.col("n")).alias("s"))
+    p = F.length("t")
+    left = a.withColumn("t", as_bytes(F.col("x"))).withColumn("q", F.explode(F.sequence(F.ceil(p * least - _SLACK).cast("int"), F.floor(p / least + _SLACK).cast("int"))))
+    low, high = F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.least(F.col("at") + F.col("k"), p - F.col("n"))
+    left = parts(left).where(high >= low).withColumn("from", F.explode(F.sequence(low, high)))
+    left = left.select("x", "q", "j", F.substring("t", F.col("from") + 1, F.col("n")).alias("s")).distinct()
+    return left.join(right, ["q", "j", "s"]).select("x", "y").distinct()
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """x, y and similarity of all pairs of values of ``a`` (x) and ``b`` (y) that are as similar.
+
+    ``least`` is over 0; empty values are similar to nothing.
+    """
+    a, b = a.where("x <> ''"), b.where("y <> ''")
+    pairs = _by_segment(a, b, least) if least >= 0.6 else _by_length(a, b, least)
+    return pairs.withColumn("similarity", similarity_ratio(F.col("x"), F.col("y"))).where(F.col("similarity") >= least - _SLACK)
+
+
+def reachable(config: MatchConfig, street: Column, city: Column, rest: Column | float = 3.0, bonus: Column | float = 0.05) -> Column:
+    """Whether a pair without equal numbers or ZIPs can reach a threshold; ``rest`` counts equal directions, suffixes and states."""
+    rest, bonus = (F.lit(c) if isinstance(c, float) else c for c in (rest, bonus))
+    structured = F.lit(0.25) * street + F.lit(0.15) * city + F.lit(0.05) * rest
+    fuzzy = F.lit(0.40) * street + F.lit(0.24) * city + F.lit(0.03) * rest + bonus
+    return (structured >= config.structured_min - _SLACK) | (fuzzy >= config.fuzzy_min - _SLACK)
+
+
+def _least_street(config: MatchConfig, city: float) -> float:
+    """The similarity that a street needs where the city's is as given, and all else is equal but number and ZIP."""
+    return min((config.fuzzy_min - 0.14 - 0.24 * city) / 0.40, (config.structured_min - 0.15 - 0.15 * city) / 0.25) - _SLACK
+
+
 def similar_values(left: DataFrame, right: DataFrame, config: MatchConfig) -> DataFrame:
     """Pairs of distinct (street, city) values that can reach a threshold by themselves.
 
-    Distinct streets are paired first, by an edit distance bounded through their
-    lengths, then the cities of the streets that are left.
+    Cities at least ``CITY`` alike are paired first, and then the streets in each
+    pair of them by length; streets of other cities have to be so much more alike
+    that they share segments.
     """
     names = lambda df, s: df.select(F.col(f"{s}.street_name").alias(f"{s}n"), F.col(f"{s}.city").alias(f"{s}c")).distinct()
     lv, rv = names(left, "l"), names(right, "r")
-    least = (config.fuzzy_min - 1e-9 - 0.09 - 0.05 - 0.24) / 0.40  # of the street similarity, whatever the rest
-    if config.structured_min <= 0.55:
-        least = min(least, (config.structured_min - 1e-9 - 0.30) / 0.25)
-    ln, rn = lv.select("ln").distinct(), rv.select("rn").distinct()
-    if least > 0:
-        ln, rn = ln.where("ln <> ''"), rn.where("rn <> ''")
-        # similar strings have similar lengths: one bucket for each length that can be
-        reach = F.sequence(F.ceil(F.octet_length("ln") * least).cast("int"), F.floor(F.octet_length("ln") / least).cast("int"))
-        pairs = ln.withColumn("size", F.explode(reach)).join(rn.withColumn("size", F.octet_length("rn")), "size").drop("size")
-    else:
-        pairs = ln.crossJoin(rn)  # only where thresholds are so low that every street qualifies
-    pairs = pairs.withColumn("n", similarity_ratio(F.col("ln"), F.col("rn"))).where(F.col("n") >= least)
-    both = pairs.join(lv, "ln").join(rv, "rn").withColumn("c", similarity_ratio(F.col("lc"), F.col("rc")))
-    enough = F.lit(0.40) * F.col("n") + F.lit(0.24) * F.col("c") + F.lit(0.14) >= config.fuzzy_min - 1e-9
-    if config.structured_min <= 0.55:
-        enough |= F.lit(0.25) * F.col("n") + F.lit(0.15) * F.col("c") + F.lit(0.15) >= config.structured_min - 1e-9
-    return both.where(enough).select("ln", "lc", "rn", "rc")
+    inside, outside = _least_street(config, 1.0), _least_street(config, CITY)
+    of = lambda df, c, name: df.select(F.col(c).alias(name)).distinct()
+    if inside <= 0 or outside <= 0:  # thresholds so low that any street qualifies
+        both = lv.crossJoin(rv).withColumn("n", similarity_ratio(F.col("ln"), F.col("rn"))).withColumn("c", similarity_ratio(F.col("lc"), F.col("rc")))
+        return both.where(reachable(config, F.col("n"), F.col("c"))).select("ln", "lc", "rn", "rc", "n", "c")
+    cities = similar_pairs(of(lv, "lc", "x"), of(rv, "rc", "y"), CITY).select(F.col("x").alias("lc"), F.col("y").alias("rc"), F.col("similarity").alias("c"))
+    size = F.octet_length("ln")
+    reach = F.sequence(F.ceil(size * inside - _SLACK).cast("int"), F.floor(size / inside + _SLACK).cast("int"))
+    sized = lv.where("ln <> ''").join(cities, "lc").withColumn("size", F.explode(reach))
+    same = sized.join(rv.where("rn <> ''").withColumn("size", F.octet_length("rn")), ["rc", "size"]).withColumn("n", similarity_ratio(F.col("ln"), F.col("rn")))
+    streets = similar_pairs(of(lv, "ln", "x"), of(rv, "rn", "y"), outside) if outside <= 1 else None
+    out = same.where(reachable(config, F.col("n"), F.col("c"))).select("ln", "lc", "rn", "rc", "n", "c")
+    if streets is None:
+        return out
+    streets = streets.select(F.col("x").alias("ln"), F.col("y").alias("rn"), F.col("similarity").alias("n"))
+    other = streets.join(lv, "ln").join(rv, "rn").withColumn("c", similarity_ratio(F.col("lc"), F.col("rc"))).where(F.col("c") < CITY - _SLACK)
+    return out.unionByName(other.where(reachable(config, F.col("n"), F.col("c"))).select("ln", "lc", "rn", "rc", "n", "c"))
 
 
 def candidate_pairs(addresses: DataFrame, locations: DataFrame, config: MatchConfig = MatchConfig(), method: str = "pruned") -> DataFrame:
@@ -60,21 +115,23 @@ def candidate_pairs(addresses: DataFrame, locations: DataFrame, config: MatchCon
         return left.crossJoin(right)
     number = (F.col("l.street_number") == F.col("r.street_number")) & (F.col("l.street_number") != "")
     postal = (F.col("l.postal_code") == F.col("r.postal_code")) & (F.col("l.postal_code") != "")
+    rest = sum((exact_match(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in ("street_direction", "street_suffix", "state")), F.lit(0.0))
+    bonus = zip_bonus(F.col("l.postal_code"), F.col("r.postal_code"))
     by_number = left.join(right, number)
     by_postal = left.join(right, postal & ~number)
     values = similar_values(left, right, config)
     near = left.join(values, (F.col("l.street_name") == F.col("ln")) & (F.col("l.city") == F.col("lc")))
-    by_name = near.join(right, (F.col("r.street_name") == F.col("rn")) & (F.col("r.city") == F.col("rc")) & ~number & ~postal).select("record_id", "l", "location_id", "r")
+    by_name = near.join(right, (F.col("r.street_name") == F.col("rn")) & (F.col("r.city") == F.col("rc")) & ~number & ~postal & reachable(config, F.col("n"), F.col("c"), rest, bonus)).select("record_id", "l", "location_id", "r")
     return by_number.unionByName(by_postal).unionByName(by_name)
 
 
 def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Confidences of the three strategies (null where one does not apply)."""
     parts = {f"_{k}": v for k, v in component_scores("l", "r").items()}
-    pairs = pairs.withColumns(parts | {"_zip": similarity_ratio(F.col("l.postal_code"), F.col("r.postal_code"))})
+    pairs = pairs.withColumns(parts | {"_bonus": zip_bonus(F.col("l.postal_code"), F.col("r.postal_code"))})
     of = {k[1:]: F.col(k) for k in parts}
     pairs = pairs.withColumn("structured_score", structured_score(of))
-    pairs = pairs.withColumn("fuzzy_score", fuzzy_score(F.col("structured_score"), of, F.col("_zip")))
+    pairs = pairs.withColumn("fuzzy_score", fuzzy_score(F.col("structured_score"), of, F.col("_bonus")))
     same_key = (F.col("l.canonical_key") == F.col("r.canonical_key")) & (F.col("l.canonical_key") != "")
     hold = (lambda c: F.least(c, F.lit(1.0))) if config.clamp_confidence else (lambda c: c)
     s = F.col("structured_score")

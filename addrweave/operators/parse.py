@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonicalize_zip, expand_abbreviations, is_primary_suffix, is_unit_followup, is_unit_token, is_zip_code, normalize_direction, normalize_state, strip_ordinal, tokenize
+from ..functions.text import canonicalize_zip, cap, expand_abbreviations, is_primary_suffix, is_unit_followup, is_unit_token, is_zip_code, normalize_direction, normalize_state, strip_ordinal, tokenize
 
 
 def _places(array: str, test):
@@ -41,19 +41,22 @@ def parse_addresses(df: DataFrame, text_col: str = "raw_address", out: str = "co
     parts = {
         "street_number": F.col("_number"),
         "street_direction": F.coalesce(normalize_direction(F.get("_b", F.lit(0))), F.lit("")),
-        "street_name": F.substring(F.array_join(F.transform(street, strip_ordinal), " "), 1, 127),
+        "street_name": cap(F.array_join(F.transform(street, strip_ordinal), " "), 127),
         "street_suffix": F.when(has, F.get("_c", F.col("_f"))).otherwise(""),
-        "unit": F.substring(F.array_join(F.slice("_t", F.col("_u") + 1, F.greatest(F.col("_v") - F.col("_u"), F.lit(0))), " "), 1, 127),
-        "city": F.when(has, F.substring(F.array_join(F.filter("_c", lambda w, i: i > F.col("_f")), " "), 1, 127)).otherwise(""),
+        "unit": cap(F.array_join(F.slice("_t", F.col("_u") + 1, F.greatest(F.col("_v") - F.col("_u"), F.lit(0))), " "), 127),
+        "city": F.when(has, cap(F.array_join(F.filter("_c", lambda w, i: i > F.col("_f")), " "), 127)).otherwise(""),
         "state": F.coalesce(normalize_state(F.get("_t", F.col("_s"))), F.lit("")),
         "postal_code": F.when(F.col("_z") >= 0, canonicalize_zip(F.get("_t", F.col("_z")))).otherwise(""),
     }
     df = df.withColumns({f"_p_{k}": v for k, v in parts.items()})
     key = [f"_p_{k}" for k in ("street_number", "street_direction", "street_name", "street_suffix", "city", "state", "postal_code")]
     full = (F.col("_p_street_number") != "") & (F.col("_p_street_name") != "")
-    df = df.withColumn("_key", F.when(full, F.substring(F.concat_ws("|", *key), 1, 255)).otherwise(""))
+    df = df.withColumn("_key", F.when(full, cap(F.concat_ws("|", *key), 255)).otherwise(""))
     made = F.struct(*[F.col(f"_p_{k}").alias(k) for k in parts], F.col("_key").alias("canonical_key"))
-    return df.withColumn(out, F.when(F.col("_n") > 0, made)).drop(*[c for c in "_t _n _z _s _u _v _a _h _number _b _c _f _key".split()], *[f"_p_{k}" for k in parts])
+    # joins push conditions on a result down through all of these stages unless it
+    # isn't deterministic; row numbers are, but the optimizer can't know
+    made = F.when((F.col("_n") > 0) & (F.monotonically_increasing_id() >= 0), made)
+    return df.withColumn(out, made).drop(*[c for c in "_t _n _z _s _u _v _a _h _number _b _c _f _key".split()], *[f"_p_{k}" for k in parts])
 
 
 def canonical_key_index(parsed: DataFrame, id_col: str, components: str = "components") -> DataFrame:

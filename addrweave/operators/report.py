@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import fixed3
+from ..functions.vocab import COMPONENTS, WEIGHTS
 
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
-def _json_candidate(c):
-    named = lambda *names: [F.regexp_replace(c[n], _CONTROL, "").alias(n) for n in names]
-    return F.struct(*named("location_id"), fixed3(c["confidence"]).alias("confidence"), *named("strategy", "reason", "street", "city", "state", "postal_code"))
+def clean(c: Column) -> Column:
+    """Without the control bytes that JSON texts leave out."""
+    return F.regexp_replace(c, _CONTROL, "")
+
+
+def number(c: Column, pattern: str) -> Column:
+    """A JSON number with fixed decimals, rounded from the exact double."""
+    places = len(pattern) - 2
+    return F.call_function("format_number", c, F.lit(pattern)).cast(f"decimal({places + 4},{places})")
+
+
+def _candidate(c: Column, *more: str) -> list[Column]:
+    texts = lambda *names: [clean(c[n]).alias(n) for n in names]
+    return [*texts("location_id"), number(c["confidence"], "0.000").alias("confidence"), *texts("strategy", "reason", *more)]
 
 
 def match_documents(results: DataFrame) -> DataFrame:
-    """record_id and one JSON document with the best candidate, all candidates and diagnostics."""
-    entry = lambda b: F.struct(b["key"].alias("key"), F.regexp_replace(b["value"], _CONTROL, "").alias("value"), F.call_function("format_number", b["weight"], F.lit("0.00")).alias("weight"))
-    best = F.when(F.col("best").isNotNull(), F.struct(_json_candidate(F.col("best")).alias("candidate"), F.transform("best.breakdown", entry).alias("breakdown")))
+    """record_id and one JSON document with the best candidate, all candidates, diagnostics and components.
+
+    Confidences have three decimals, weights two; components are empty texts where
+    the address has no words.
+    """
+    entry = lambda k: F.struct(clean(F.col("best.breakdown")[k]["value"]).alias("value"), number(F.col("best.breakdown")[k]["weight"], "0.00").alias("weight"))
+    weights = F.struct(*[entry(k).alias(key) for k, (key, _) in enumerate(WEIGHTS)])
+    best = F.struct(*_candidate(F.col("best"), "street", "city", "state", "postal_code"), weights.alias("breakdown"))
     body = F.struct(
-        best.alias("best_candidate"),
-        F.transform("candidates", _json_candidate).alias("candidates"),
-        F.struct(F.col("outcome"), F.col("selected_strategy"), F.col("selected_confidence"), F.size("candidates").alias("candidate_count")).alias("diagnostics"),
-        F.col("record_components"),
+        F.when(F.col("best").isNotNull(), best).alias("best_candidate"),
+        F.transform("candidates", lambda c: F.struct(*_candidate(c))).alias("candidates"),
+        F.struct("selected_strategy", "selected_confidence").alias("diagnostics"),
+        F.struct(*[F.coalesce(clean(F.col(f"record_components.{c}")), F.lit("")).alias(c) for c in COMPONENTS]).alias("record_components"),
     )
-    return results.select("record_id", F.to_json(body).alias("document"))
+    return results.select("record_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def explain_matches(best: DataFrame) -> DataFrame:
-    """One row for each record and component of its best match."""
+    """One row for each record and component of its best match, with both values in full."""
     rows = best.where("location_id is not null").select("record_id", "location_id", F.inline("breakdown"))
-    sides = F.split("value", r"\|", -1)
-    return rows.select("record_id", "location_id", F.col("key").alias("component"), F.get(sides, F.lit(0)).alias("address_value"), F.get(sides, F.lit(1)).alias("location_value"), "weight")
+    return rows.select("record_id", "location_id", F.col("key").alias("component"), F.col("left").alias("address_value"), F.col("right").alias("location_value"), "weight")
 
 
 def audit_zip_mismatch(best: DataFrame, locations: DataFrame) -> DataFrame:

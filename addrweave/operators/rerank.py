@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.scores import breakdown, component_scores
-from .match import fixed3, merge_candidates, top_candidates
+from .match import merge_candidates, top_candidates
+from .report import clean, number
 
 PAYLOAD_CANDIDATES = 5
 
@@ -18,10 +19,11 @@ def rerank_payloads(addresses: DataFrame, top: DataFrame, locations: DataFrame)
     """record_id and a JSON payload with the address and its first candidates."""
     places = locations.select("location_id", "street", "city", "state", "postal_code").dropDuplicates(["location_id"])
     rows = top.where(F.col("rank") <= PAYLOAD_CANDIDATES).join(places, "location_id")
-    item = F.struct("rank", "location_id", fixed3(F.col("confidence")).alias("confidence"), "street", "city", "state", "postal_code")
-    lists = rows.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
-    plain = F.transform("candidates", lambda c: F.struct(*[c[k].alias(k) for k in ("location_id", "confidence", "street", "city", "state", "postal_code")]))
-    return addresses.join(lists, "record_id").select("record_id", F.to_json(F.struct(F.col("address"), plain.alias("candidates"))).alias("payload"))
+    names = ("location_id", "confidence", "strategy", "street", "city", "state", "postal_code")
+    texts = [clean(F.col(n)).alias(n) if n != "confidence" else number(F.col(n), "0.000").alias(n) for n in names]
+    lists = rows.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("rank", *texts))).alias("candidates"))
+    plain = F.transform("candidates", lambda c: F.struct(*[c[k].alias(k) for k in names]))
+    return addresses.join(lists, "record_id").select("record_id", F.to_json(F.struct(clean(F.col("address")).alias("address"), plain.alias("candidates"))).alias("payload"))
 
 
 def score_payloads(payloads: DataFrame, scorer: Callable[[list[str]], list[str]]) -> DataFrame:

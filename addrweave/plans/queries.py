@@ -16,7 +16,7 @@ from ..operators import match as M
 from ..operators import report as P
 from ..operators import rerank as R
 from ..operators.parse import canonical_key_index
-from ..sources.tables import load_locations, read_addresses
+from ..sources.tables import load_locations, read_addresses, read_rerank_decisions
 from ..streaming.stream import match_stream
 from .fixtures import addresses, locations, raw_addresses, raw_locations, responses
 
@@ -146,6 +146,21 @@ def q_parse_rerank_decisions(spark, d):
     return R.parse_rerank_decisions(responses(None, top)).select("record_id", "location_id", _r6("confidence"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
+def q_read_rerank_decisions(spark, d):
+    """Responses written as lines and read back."""
+    path = _folder(spark)
+    responses(None, _top(spark, d)).select(F.concat_ws("\t", F.col("record_id").cast("string"), "response").alias("value")).write.text(path)
+    return read_rerank_decisions(spark, path)
+
+
 def q_apply_rerank(spark, d):
     top = _top(spark, d)
     out = R.apply_rerank(addresses(spark, d), locations(spark, d), top, R.parse_rerank_decisions(responses(None, top)))
@@ -175,8 +190,7 @@ def q_location_count(spark, d):
 
 def q_match_stream(spark: SparkSession, d: str) -> DataFrame:
     """Addresses as a stream of files, matched batch by batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{base}/{uuid.uuid4().hex}"
+    root = _folder(spark)
     rows = raw_addresses(spark, d)
     rows.write.parquet(f"{root}/in")
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/in")

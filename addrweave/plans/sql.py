@@ -126,7 +126,31 @@ _EXPLAIN = "\nUNION ALL ".join(
     f"SELECT b.record_id, b.location_id, '{k}' AS component, b.{c} AS address_value, r.{c} AS location_value, round({_WEIGHT[k]}::DOUBLE * t.{k}, 6) AS weight FROM best b JOIN loc r ON b.location_id = r.location_id JOIN top t ON t.record_id = b.record_id AND t.rank = 1" for k, c in _SIDES.items()
 )
 
+
+def _text(*pairs: tuple[str, str]) -> str:
+    """Members of a JSON object with text values, as SQL."""
+    return " || ',' || ".join(f"""'"{name}":"' || {value} || '"'""" for name, value in pairs)
+
+
+_COLUMNS = ("street", "city", "state", "postal_code")
+_CONFIDENCE = """',"confidence":' || printf('%.3f', {t}.confidence) || ','"""
+_LISTED = f"""'{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), ("reason", "t.reason"))} || '}}'"""
+_PAIRS_OF = " || ',' || ".join(f"""'"{k}":{{"value":"' || b.{c} || '|' || r.{c} || '","weight":' || printf('%.2f', {_WEIGHT[k]}::DOUBLE * t.{k}) || '}}'""" for k, c in _SIDES.items())
+_DOCUMENTS = f"""lists AS (SELECT record_id, string_agg({_LISTED}, ',' ORDER BY rank) AS list FROM top t GROUP BY record_id),
+bests AS (SELECT b.record_id, '{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), ("reason", "t.reason"), *[(c, f"p.{c}") for c in _COLUMNS])} || ',"breakdown":{{' || {_PAIRS_OF} || '}}}}' AS best
+  FROM best b JOIN top t ON t.record_id = b.record_id AND t.rank = 1 JOIN loc r ON b.location_id = r.location_id JOIN loaded p ON b.location_id = p.location_id)
+SELECT b.record_id, '{{"best_candidate":' || coalesce(best, 'null') || ',"candidates":[' || coalesce(list, '') || '],"diagnostics":{{' || {_text(("selected_strategy", "selected_strategy"), ("selected_confidence", "selected_confidence"))}
+  || '}},"record_components":{{' || {_text(*[(c, f"CASE WHEN n > 0 THEN b.{c} ELSE '' END") for c in COMPONENTS])} || '}}}}' AS document
+FROM best b LEFT JOIN lists USING (record_id) LEFT JOIN bests USING (record_id)"""
+_PAYLOAD = f"""items AS (SELECT record_id, string_agg('{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), *[(c, f"p.{c}") for c in _COLUMNS])} || '}}', ',' ORDER BY rank) AS list FROM top t JOIN loaded p ON t.location_id = p.location_id GROUP BY record_id)
+SELECT record_id, '{{' || {_text(("address", "address"))} || ',"candidates":[' || list || ']}}' AS payload FROM adr JOIN items USING (record_id)"""
+_LINES = """voted AS (SELECT record_id, max_by(location_id, rank) AS voted FROM top WHERE rank <= 2 GROUP BY record_id)
+SELECT record_id, 'location_id=' || CASE WHEN record_id % 50 = 0 THEN 'loc-9999999' ELSE voted END || CASE record_id % 4 WHEN 0 THEN ' confidence=0.69' WHEN 1 THEN ' confidence=0.82' WHEN 2 THEN ' confidence=0.99' ELSE '' END AS response FROM voted"""
+
 ORACLE_SQL = {
+    "match_documents": f"{_PAIRS}, {_DOCUMENTS}",
+    "rerank_payloads": f"{_PAIRS}, {_PAYLOAD}",
+    "read_rerank_decisions": f"{_PAIRS}, {_LINES}",
     "load_locations": f"WITH {_LOCATIONS} SELECT location_id, street, city, state, postal_code, address FROM loaded",
     "clean_pasted_text": f"WITH {_LOCATIONS},\n{_ADDRESSES} SELECT record_id, address FROM cleaned",
     "expand_abbreviations": f"WITH {_LOCATIONS},\n{_ADDRESSES} SELECT record_id, {_expand('address')} AS expanded FROM cleaned",

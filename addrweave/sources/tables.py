@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_upper, canonicalize_zip, clean_pasted_text
+from ..functions.text import ascii_upper, canonicalize_zip, cap, clean_pasted_text
 
 LOCATION_COLUMNS = ("location_id", "street", "city", "state", "zip_code")
 
@@ -25,7 +25,7 @@ def load_locations(df: DataFrame) -> DataFrame:
     for c in LOCATION_COLUMNS[:4]:
         rows = rows.where(F.col(c).isNotNull() & (F.col(c) != ""))
     caps = {"street": 127, "city": 127, "state": 15}
-    rows = rows.withColumns({c: ascii_upper(F.substring(c, 1, n)) for c, n in caps.items()} | {"location_id": F.substring("location_id", 1, 63)})
+    rows = rows.withColumns({c: ascii_upper(cap(F.col(c), n)) for c, n in caps.items()} | {"location_id": cap(F.col("location_id"), 63)})
     rows = rows.withColumn("postal_code", canonicalize_zip(ascii_upper(F.col("zip_code"))))
     text = F.concat("street", F.lit(", "), "city", F.lit(", "), "state", F.lit(" "), "postal_code")
     return rows.select("location_id", "street", "city", "state", "postal_code", text.alias("address"))

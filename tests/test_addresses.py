@@ -4,15 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from addrweave.config import MatchConfig
-from addrweave.functions.scores import component_scores, fuzzy_score, similarity_ratio, structured_score
-from addrweave.functions.text import canonicalize_zip, clean_pasted_text
-from addrweave.functions.vocab import COMPONENTS
+from addrweave.functions.scores import component_scores, fuzzy_score, similarity_ratio, structured_score, zip_bonus
+from addrweave.functions.text import canonicalize_zip, clean_pasted_text, expand_abbreviations
+from addrweave.functions.vocab import COMPONENTS, EXPANSIONS, ORDINALS
 from addrweave.operators import candidates as C
 from addrweave.operators import match as M
 from addrweave.operators.parse import parse_addresses
+from addrweave.operators.report import explain_matches
 from addrweave.operators.rerank import parse_rerank_decisions
 from addrweave.plans import fixtures as X
-from addrweave.sources.tables import load_locations
+from addrweave.sources.tables import load_locations, read_table, write_documents
 
 from .conftest import SF
 
@@ -78,7 +79,7 @@ def test_scores(spark):
     right = parse_addresses(spark.createDataFrame([(k,) for k in SCORES], "raw_address string")).select("raw_address", F.col("components").alias("r")).persist()
     parts = component_scores("l", "r")
     s = structured_score(parts)
-    f = fuzzy_score(s, parts, similarity_ratio(F.col("l.postal_code"), F.col("r.postal_code")))
+    f = fuzzy_score(s, parts, zip_bonus(F.col("l.postal_code"), F.col("r.postal_code")))
     for r in left.crossJoin(right).select("raw_address", s.alias("s"), f.alias("f")).collect():
         assert (r["s"], r["f"]) == pytest.approx(SCORES[r["raw_address"]], abs=1e-15)
 
@@ -91,6 +92,8 @@ def test_similarity(spark, a, b, ratio):
 def test_config():
     assert MatchConfig(structured_min=1.5, max_candidates=17) == MatchConfig()
     assert MatchConfig(max_candidates=3).max_candidates == 3
+    texts = {"X_FUZZY_MIN": "0.4", "X_STRUCTURED_MIN": "2", "X_RERANK_MIN": "high", "X_MAX_CANDIDATES": "16", "X_CLAMP_CONFIDENCE": "false"}
+    assert MatchConfig.from_mapping(texts, "X_") == MatchConfig(fuzzy_min=0.4, max_candidates=16, clamp_confidence=False)
 
 
 def test_locations_without_a_part_are_left_out(spark):
@@ -105,11 +108,25 @@ def sides(spark):
     return records, X.locations(spark, SF)
 
 
-def test_pruned_is_cross(spark, sides):
-    pairs = lambda how: {(r[0], r[1]) for r in C.score_pairs(C.candidate_pairs(*sides, method=how)).where("coalesce(canonical, structured, fuzzy) is not null").select("record_id", "location_id").collect()}
+@pytest.mark.parametrize("config", [MatchConfig(), MatchConfig(structured_min=0.5, fuzzy_min=0.4), MatchConfig(structured_min=0.9, fuzzy_min=0.8), MatchConfig(structured_min=0.14, fuzzy_min=0.1)])
+def test_pruned_is_cross(spark, sides, config):
+    records = sides[0].limit(60) if config.fuzzy_min < 0.2 else sides[0]
+    scored = lambda how: C.score_pairs(C.candidate_pairs(records, sides[1], config, how), config).where("coalesce(canonical, structured, fuzzy) is not null")
+    pairs = lambda how: sorted((r[0], r[1]) for r in scored(how).select("record_id", "location_id").collect())
     assert pairs("pruned") == pairs("cross")
 
 
+def test_similar_pairs(spark):
+    import random
+
+    draw = random.Random(2)
+    some = ["".join(draw.choice("ABé ") for _ in range(draw.randint(0, 14))) for _ in range(120)]
+    a, b = spark.createDataFrame([(x,) for x in set(some[:60])], "x string"), spark.createDataFrame([(x,) for x in set(some[40:])], "y string")
+    every = a.crossJoin(b).withColumn("similarity", similarity_ratio(F.col("x"), F.col("y"))).collect()
+    for least in (0.3, 0.5, 0.6, 0.725, 0.9, 1.0):
+        assert sorted(map(tuple, C.similar_pairs(a, b, least).collect())) == sorted(tuple(r) for r in every if r["similarity"] >= least - 1e-9)
+
+
 def test_winners(spark, sides):
     for clamp, counts in ((True, {"canonical": 132, "fuzzy": 390, "structured": 13, "none": 65}), (False, {"structured": 132, "canonical": 13, "fuzzy": 390, "none": 65})):
         top = M.find_candidates(*sides, MatchConfig(clamp_confidence=clamp)).persist()
@@ -118,6 +135,67 @@ def test_winners(spark, sides):
         assert top.count() == 609
 
 
+def test_expansion_is_a_chain_of_replacements(spark):
+    import random
+
+    draw = random.Random(3)
+    words = ["ST", "ST.", "N", "N.", "NE", "1st", "21ST", "ave", "AVE.", "x", "", "ST,", "ST.ST.", "CT", "é", "ST.LOUIS", "\t", "a.b", "HWY.", "PKY."]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 12))) for _ in range(400)] + ["N " * k for k in range(8)] + [" ".join(draw.choice(words) for _ in range(300)) for _ in range(20)]
+
+    def plain(t):
+        out = bytes(c - 32 if 97 <= c <= 122 else c for c in f" {t} ".encode())[:511].decode(errors="ignore").encode()
+        for short, long in (*EXPANSIONS, *ORDINALS):
+            out = out.replace(short.encode(), long.encode())
+        return out
+
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", expand_abbreviations(F.col("t")).cast("binary").alias("x")).collect()
+    assert all(bytes(r["x"]) == plain(texts[r["k"]]) for r in got)
+
+
+def test_caps_count_bytes(spark):
+    assert one(spark, "é" * 300, clean_pasted_text) == "é" * 255
+    row = load_locations(spark.createDataFrame([("a", "é" * 100, "c", "s", None)], "location_id string, street string, city string, state string, zip_code string")).select(F.octet_length("street")).first()
+    assert row[0] == 126
+
+
+def test_bars_in_values(spark):
+    left = parse_addresses(spark.createDataFrame([(1, "12 N OAK|ELM ST, RENO, NV 89501")], "record_id long, raw_address string"))
+    right = parse_addresses(spark.createDataFrame([("a", "12 N OAK|ELM ST, RENO, NV 89501")], "location_id string, raw_address string"))
+    top = M.find_candidates(left, right)
+    rows = {r["component"]: (r["address_value"], r["location_value"]) for r in explain_matches(M.best_match(left, top)).collect()}
+    assert rows["street_name"] == ("OAK|ELM", "OAK|ELM")
+
+
+def test_nothing_need_be_kept(spark):
+    """Parsed tables that nobody persists are joined by a plan as long as its parts."""
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    records = parse_addresses(X.read_addresses(X.raw_addresses(spark, SF)), "address")
+    places = parse_addresses(X.load_locations(X.raw_locations(spark, SF)), "address")
+    top = M.find_candidates(records, places)
+    assert plan(top) < 20 * (plan(records) + plan(places))
+
+
+def test_jdbc_source(spark):
+    url = "jdbc:derby:memory:places;create=true"
+    rows = spark.createDataFrame([("a", "1 N OAK ST", "RENO", "NV", "89501")], "location_id string, street string, city string, state string, zip_code string")
+    rows.write.jdbc(url, "places", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = load_locations(read_table(spark, "", "jdbc", url=url, dbtable="places", driver="org.apache.derby.jdbc.EmbeddedDriver")).collect()
+    assert [r["address"] for r in got] == ["1 N OAK ST, RENO, NV 89501"]
+
+
+def test_documents_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, '{"a": 1}')], "record_id long, document string")
+    write_documents(df, f"{tmp_path}/out")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == ['{"a": 1}']
+
+
+def test_control_bytes_and_escapes(spark):
+    from addrweave.operators.report import clean, number
+
+    row = spark.createDataFrame([('a"b\\c\td\x01e', 0.9285, 0.125)], "t string, c double, w double").select(F.to_json(F.struct(clean(F.col("t")).alias("t"), number(F.col("c"), "0.000").alias("c"), number(F.col("w"), "0.00").alias("w")))).first()
+    assert row[0] == '{"t":"a\\"b\\\\c\\tde","c":0.928,"w":0.12}'
+
+
 def test_decisions(spark):
     rows = [(1, "location_id=a confidence=0.82"), (2, "location_id=a confidence=0.1"), (3, "location_id=a"), (4, "x location_id=a location_id=b confidence=0.9z\nlocation_id=c"), (5, None), (6, "confidence=0.9")]
     got = parse_rerank_decisions(spark.createDataFrame(rows, "record_id long, response string")).collect()
