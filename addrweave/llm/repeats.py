@@ -6,7 +6,8 @@ shard builds.
 1. Each window has a *minimizer*, the least hash among its short grams; equal
    windows have equal minimizers.  A *run* is a stretch of windows of one text
    with the same minimizer.  Runs are rows of ids and positions only.
-2. Minimizers met in one text alone are dropped by an aggregate and a join.
+2. Minimizers met in one text alone are dropped: ranges of minimizers are held
+   against each other, then a bitmap and a join pick the runs.
 3. The runs that are left are joined to the texts once, which gives *segments*
    (the symbols that a run's windows cover).  Equal segments are folded to one,
    with their smallest and largest doc_id.
@@ -17,8 +18,9 @@ shard builds.
 5. The answers are joined back to the runs: a window whose smallest doc_id is
    below the run's own is a repeat.
 
-No step holds the rows of one key in one task: counts and minima are aggregated
-on the map side, joins can be split, and shards hold folded segments.
+No step holds the rows of one key in one task: what shares a key is folded where
+it lies before it is shuffled, joins can be split, and shards hold different
+segments.
 
 Null texts count as empty.  A null doc_id counts as the largest.  Rows of equal
 doc_id and text are one document; exact copies of a text with a smaller doc_id
@@ -40,6 +42,8 @@ from . import text
 from .common import bitmap, discard, stored
 
 SALTS = 16
+HELD = 1 << 21
+RANGE = 1 << 23
 SHARD_SYMBOLS = 1 << 18
 LAST = (1 << 63) - 1
 
@@ -114,6 +118,53 @@ def runs(docs: DataFrame, unit: str, window: int, gram: int, bitmap: np.ndarray
     return docs.select("__fp", "__body").mapInArrow(run, "m long, fp long, at long")
 
 
+def shared_minimizers(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
+    """m of all minimizers that two different texts have.
+
+    Tasks hold about ``HELD`` runs at a time, keep two texts of each minimizer
+    among them (the least and the greatest fp) and hand them on in ranges of
+    minimizers; a range has about ``RANGE`` bytes at any size of the corpus.
+    """
+    size = docs.agg(F.sum(F.octet_length("__body"))).first()[0] or 0
+    bits = max(1, (size // RANGE).bit_length())
+
+    def ranges(m, fp):
+        order = np.argsort(m)
+        m, fp = m[order], fp[order]
+        begin = np.flatnonzero(np.append(True, m[1:] != m[:-1])[: len(m)])
+        low, high = np.minimum.reduceat(fp, begin), np.maximum.reduceat(fp, begin)
+        two = low != high
+        m, fp = np.concatenate([m[begin], m[begin][two]]), np.concatenate([low, high[two]])
+        part = (m >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        m, fp, part = m[order], fp[order], part[order]
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+        for k in range(0, len(cuts) - 1, 256):
+            some = list(zip(cuts[k : k + 256].tolist(), cuts[k + 1 : k + 257].tolist(), strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(part[[a for a, _ in some]]), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (m, fp))], ["part", "m", "fp"])
+
+    def run(batches):
+        held: list = []
+        for block in text.blocks(batches, "__body"):
+            m, row, _, _ = _runs(unit, block.column("__body"), window, gram)
+            held.append((m, text.column(block, "__fp")[row]))
+            if sum(len(m) for m, _ in held) >= HELD:
+                yield from ranges(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if sum(len(m) for m, _ in held):
+            yield from ranges(*map(np.concatenate, zip(*held, strict=True)))
+
+    def met(table: pa.Table) -> pa.Table:
+        m, fp = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("m", np.int64), ("fp", np.int64)))
+        order = np.argsort(m)
+        m, fp = m[order], fp[order]
+        begin = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+        shared = np.minimum.reduceat(fp, begin) != np.maximum.reduceat(fp, begin)
+        return pa.table({"m": m[begin][shared]})
+
+    return docs.select("__fp", "__body").mapInArrow(run, "part long, m binary, fp binary").groupBy("part").applyInArrow(met, "m long")
+
+
 def _content(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
     """The bytes data[low:high] of each stretch."""
     size = high - low
@@ -147,7 +198,7 @@ def segments(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     Only the smallest document of each text is cut; its exact copies are judged
     by ``copies``.
     """
-    shared = stored(runs(docs, unit, window, gram).groupBy("m").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("m"))
+    shared = stored(shared_minimizers(docs, unit, window, gram))
     some = runs(docs, unit, window, gram, bitmap(shared, "m"))  # and some by chance, which the join drops
     met = some.join(shared, "m").groupBy("fp").agg(F.collect_set(F.struct("m", "at")).alias("runs"))
     met = stored(met.join(_lowest_of_text(docs).select("doc", "fp"), "fp"))
@@ -193,8 +244,31 @@ def windows(folded: DataFrame, unit: str, window: int) -> DataFrame:
     return folded.select("s1", "s2", "doc", "last", "content").mapInArrow(run, "m long, s1 long, s2 long, doc long, last long, p1 long, p2 long, k int, content binary")
 
 
-def _fold(df: DataFrame, last: str) -> DataFrame:
-    return df.groupBy("m", "s1", "s2").agg(F.min("doc").alias("doc"), F.max(last).alias("last"), F.min("content").alias("content"))
+def fold(table: pa.Table) -> pa.Table:
+    """Equal segments once, with the smallest and the largest doc_id of all of them."""
+    s1, s2, doc, last = (table.column(c).to_numpy() for c in ("s1", "s2", "doc", "last"))
+    order = np.lexsort((s2, s1))
+    new = np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]))[: len(order)]
+    begin = np.flatnonzero(new)
+    low, high = (f.reduceat(x[order], begin) if len(begin) else x for f, x in ((np.minimum, doc), (np.maximum, last)))
+    one = table.take(pa.array(order[begin]))
+    return one.set_column(one.schema.get_field_index("doc"), "doc", pa.array(low)).set_column(one.schema.get_field_index("last"), "last", pa.array(high))
+
+
+def folded(df: DataFrame) -> DataFrame:
+    """Equal segments that lie together are folded where they are (``HELD`` / 16 rows at a time)."""
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD // 16:
+                yield from fold(pa.Table.from_batches(held)).to_batches()
+                held = []
+        if held:
+            yield from fold(pa.Table.from_batches(held)).to_batches()
+
+    return df.select("m", "s1", "s2", "doc", "last", "content").mapInArrow(run, "m long, s1 long, s2 long, doc long, last long, content binary")
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> DataFrame:
@@ -204,14 +278,16 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
     doc_id of each of its windows.  ``docs`` comes from ``keyed``.
     """
     made = segments(docs, unit, window, gram)
-    folded = stored(_fold(made, "doc"))
-    bytes_of = folded.groupBy("m").agg(F.sum(F.length("content")).alias("bytes"))
+    each = made.withColumn("last", F.col("doc"))
     shard = SHARD_SYMBOLS * (6 if unit == "word" else 1)
-    hot = stored(bytes_of.where(F.col("bytes") > shard).select("m"))
-    total = folded.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, total // shard + 1)
+    sizes = made.groupBy("m", "s1").agg(F.max(F.octet_length("content")).alias("bytes")).groupBy("m").agg(F.sum("bytes").alias("bytes"))
+    sizes = stored(sizes)
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    hot = stored(sizes.where(F.col("bytes") > 8 * shard).select("m"))
+    discard(sizes)
 
     def index(table: pa.Table) -> pa.Table:
+        table = fold(table)
         contents = table.column("content").combine_chunks()
         lists = lowest(contents.chunk(0) if isinstance(contents, pa.ChunkedArray) else contents, table.column("doc").to_numpy())
         low, cuts = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
@@ -227,18 +303,20 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, lowest) -> Data
         out = pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "found": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)})
         return out.filter(pa.array(np.diff(cuts) > 0))
 
-    def indexed(segments_of: DataFrame, shards: int) -> DataFrame:
-        dealt = segments_of.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
+    def indexed(segments_of: DataFrame, size: int) -> DataFrame:
+        shards = size // shard + 1
+        dealt = folded(segments_of).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(int(shards), "shard")
         return dealt.groupBy("shard").applyInArrow(index, "s1 long, s2 long, found array<struct<k int, n int, low long>>")
 
-    answers = [stored(indexed(folded.join(hot, "m", "left_anti"), shards))]
-    if not hot.isEmpty():
-        every = stored(windows(folded.join(hot, "m", "left_semi"), unit, window))
-        each = indexed(_fold(every, "last"), every.count() * window // SHARD_SYMBOLS + 1).select("s1", "s2", F.col("found")[0]["low"].alias("low"))
-        back = every.select("s1", "s2", "p1", "p2", "k").join(each, ["s1", "s2"])
+    some = not hot.isEmpty()
+    answers = [stored(indexed(each.join(hot, "m", "left_anti") if some else each, total))]
+    if some:
+        every = stored(windows(folded(each.join(hot, "m", "left_semi")), unit, window))
+        found = indexed(every, every.agg(F.sum(F.octet_length("content"))).first()[0]).select("s1", "s2", F.col("found")[0]["low"].alias("low"))
+        back = every.select("s1", "s2", "p1", "p2", "k").distinct().join(found, ["s1", "s2"])
         answers.append(stored(back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.collect_list(F.struct("k", F.lit(1).alias("n"), "low")).alias("found"))))
         discard(every)
-    discard(folded, hot)
+    discard(hot)
     found = answers[0] if len(answers) == 1 else answers[0].union(answers[1])
     at = made.select("s1", "s2", "doc", "fp", "start").join(found, ["s1", "s2"])
     starts = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((F.col("start") + x["k"]).alias("at"), x["n"].alias("n")))
