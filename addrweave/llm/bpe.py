@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import text
 from .common import documents, per_block, shared_dir
 
+WIDE = 1 << 21  # bytes of a block: each distinct piece of a block is encoded once
 LEXICON_SIZE = 1 << 16
 #: Pieces that make up this share of some task's pieces are frequent.
 SHARE = 2.0**-17
@@ -236,7 +237,7 @@ def frequent(docs: DataFrame, special: list[bytes], size: int = LEXICON_SIZE, sh
             known.clear()
             known.update(kept)
 
-        for block in text.blocks(batches):
+        for block in text.blocks(batches, size=WIDE):
             found, number, _ = distinct(block, special)
             total += len(number)
             for piece, n in zip(found, np.bincount(number, minlength=len(found)).tolist(), strict=True):
@@ -410,7 +411,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32) if lists else [], pa.int32()))
         return pa.RecordBatch.from_arrays([block.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return per_block(documents(docs), run, "doc_id long, ids array<int>")
+    return per_block(documents(docs), run, "doc_id long, ids array<int>", size=WIDE)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -442,4 +443,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         counts = pa.array([len(ids) for ids in lists], pa.int64())
         return pa.RecordBatch.from_arrays([block.column("doc_id"), counts, pa.array(spoken), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return per_block(documents(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_block(documents(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", size=WIDE)

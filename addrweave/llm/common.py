@@ -28,11 +28,11 @@ def remainder(id_col: str | Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % divisor, F.lit(0))
 
 
-def per_block(df: DataFrame, function, schema: str, column: str = "text") -> DataFrame:
+def per_block(df: DataFrame, function, schema: str, column: str = "text", size: int = text.BLOCK_BYTES) -> DataFrame:
     """Apply ``function(block) -> RecordBatch`` to blocks of rows of bounded size."""
 
     def run(batches):
-        for block in text.blocks(batches, column):
+        for block in text.blocks(batches, column, size):
             yield function(block)
 
     return df.mapInArrow(run, schema)

@@ -15,8 +15,10 @@ pairs inside one component are never expanded.
 
 Nulls, empty texts: no shingles, linked with nothing.  A text with fewer words
 than a shingle is one shingle, its whole sequence.  Rows of one doc_id count as
-one document; rows without a doc_id are linked with nothing and kept.  Shingles
-are told apart by 64-bit hashes, sets by 128 bits and their size.
+one document (with different texts: the set with the least digest is its own);
+rows without a doc_id are linked with nothing and kept.  Shingles are told apart
+by 64-bit hashes, sets by 128 bits and their size.  Jobs run when the function is
+called; the labels that the result reads stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -64,6 +66,16 @@ def shingle_sets(block: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
     return value[new], np.searchsorted(owner[new], np.arange(block.num_rows + 1))
 
 
+def digests(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two columns."""
+    two = np.zeros((2, len(at) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        two[0, full] = np.add.reduceat(text.mix(values), at[:-1][full])
+        two[1, full] = np.add.reduceat(text.mix(values ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
+    return two[0].view(np.int64), two[1].view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, and one key a band."""
     functions = rows * bands // 2
@@ -76,11 +88,8 @@ def signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
         counts = np.diff(at)
         full = np.flatnonzero(counts)
         begin = at[:-1][full]
-        two = np.zeros((2, block.num_rows), np.uint64)
         keys = np.zeros((len(full), bands), np.uint64)
         if len(full):
-            two[0, full] = np.add.reduceat(text.mix(values), begin)
-            two[1, full] = np.add.reduceat(text.mix(values ^ np.uint64(0x5851F42D4C957F2D)), begin)
             signature = np.empty((len(full), 2 * functions), np.uint64)
             for k in range(functions):
                 hashed = (values ^ mask[k]) * odd[k]
@@ -93,13 +102,13 @@ def signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
                 keys[:, b] = total
         cuts = np.cumsum([0, *np.where(counts, bands, 0)])
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), pa.array(two[0].view(np.int64)), pa.array(two[1].view(np.int64)), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), *map(pa.array, digests(values, at)), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return per_block(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Shingles of each document, and a sketch: the parity of each of SKETCH classes of them.
+def _sets(docs: DataFrame, fold: DataFrame, size: int) -> DataFrame:
+    """Shingles of each node, and a sketch: the parity of each of SKETCH classes of them.
 
     Sketches differ in no more bits than the sets in shingles.
     """
@@ -112,9 +121,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         bits = np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (SKETCH // 64), pa.int32()), pa.array(bits))
         shingles = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
-        return pa.RecordBatch.from_arrays([block.column("doc_id"), shingles, sketch], ["node", "shingles", "sketch"])
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), *map(pa.array, digests(values, at)), shingles, sketch], ["node", "d1", "d2", "shingles", "sketch"])
 
-    return per_block(docs, run, "node long, shingles array<long>, sketch array<long>").dropDuplicates(["node"])
+    made = per_block(docs, run, "node long, d1 long, d2 long, shingles array<long>, sketch array<long>")
+    return made.join(fold.select("node", "d1", "d2"), ["node", "d1", "d2"]).drop("d1", "d2").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,16 +174,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     made = stored(signatures(docs, shingle, rows, bands))
     full = made.where("n_shingles > 0 and doc_id is not null")
     keys = ["d1", "d2", "n_shingles"]
-    fold = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("node")))
+    own = full.groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("set")).select("doc_id", "set.*")
+    fold = stored(own.groupBy(*keys).agg(F.min("doc_id").alias("node")))
     first = full.join(fold, keys).where("doc_id = node")
     exploded = first.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = stored(exploded.join(shared, "bucket"))
     nodes = members.select("node").distinct()
-    sets = stored(_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"), shingle))
+    sets = stored(_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"), fold.join(nodes, "node"), shingle))
     labels = stored(nodes.withColumn("label", F.col("node")))
     tested: DataFrame | None = None
     found: list[DataFrame] = []
+    compared: list[DataFrame] = []
     everything = False
     while True:
         placed = members.join(labels, "node")
@@ -191,8 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         links = stored(_confirm(pairs, sets, percent))
         some = not links.isEmpty()
         tested = pairs if tested is None else tested.union(pairs)
+        compared.append(pairs)
+        found.append(links)
         if some:
-            found.append(links)
             at = labels.select(F.col("node").alias("a"), F.col("label").alias("p"))
             to = labels.select(F.col("node").alias("b"), F.col("label").alias("q"))
             merged = components(links.join(at, "a").join(to, "b").select(F.col("p").alias("a"), F.col("q").alias("b")))
@@ -202,9 +215,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         if everything:
             break
         everything = not some
-    discard(members, sets)
     whole = fold.join(labels, "node", "left").select(*keys, F.coalesce("label", "node").alias("component"))
-    out = made.join(whole, keys, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    whole = own.join(whole, keys).select("doc_id", F.col("n_shingles").alias("n"), "component")
+    out = stored(made.select("doc_id", "n_shingles").join(whole, "doc_id", "left"))
+    discard(made, fold, members, sets, labels, *found, *compared)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.coalesce("n", "n_shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

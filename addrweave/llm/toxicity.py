@@ -8,8 +8,10 @@ is broadcast is a short list of slots and weights (never more than the slots).
 Scoring is one pass over the texts without a shuffle.
 
 Nulls: a null text counts as empty and gets the score of the bias alone; rows
-with a null label are not learned from.  Repeated labels of one id count once,
-as the largest.  Empty tables give a model without weights, that is 0.5.
+with a null label or id are not learned from.  Repeated labels of one id count
+once, as the largest; of different texts under one id the least is learned from.
+Every row is scored by its own text.  Empty tables give a model without weights,
+that is 0.5.  The model is trained when the function is called.
 """
 
 from __future__ import annotations
@@ -107,19 +109,23 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int = MAX_T
     known = known.dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # bounded by ``rows``
-    return documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    return documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """doc_id and score (0 to 1) of every row of ``docs``."""
-    at, w = model
-    dense = np.zeros((1 << bits) + 1, np.float32)
-    dense[at] = w
-    bias = float(dense[-1])
-    shared = docs.sparkSession.sparkContext.broadcast(dense[:-1])  # fixed size: 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many slots as L1 leaves, 2**bits at most
+    made: list = []
+
+    def dense():
+        if not made:
+            at, w = shared.value
+            made.append(np.zeros((1 << bits) + 1, np.float32))
+            made[0][at] = w
+        return made[0][:-1], float(made[0][-1])
 
     def score(block):
-        weights = shared.value
+        weights, bias = dense()
         rows, found = slots(block, bits)
         hit = weights[found] != 0
         both = np.unique(rows[hit].astype(np.int64) << bits | found[hit].astype(np.int64))

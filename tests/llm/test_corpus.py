@@ -80,6 +80,75 @@ def test_odd_rows(spark, name):
         assert of[1]["lang_pred"] == of[2]["lang_pred"] == of[7]["lang_pred"] == "und"
 
 
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame(ODD, ODD_SCHEMA).selectExpr("*", *[f"1 as {c}" for c in ("starts", "copy", "found", "n_words", "n_removed", "kept", "m", "fp")])
+    got = substring_dedup(df, keep=True)
+    assert got.columns == [*"doc_id text lang starts copy found m fp".split(), "n_words", "n_removed", "kept"]
+    assert sum(r["n_removed"] for r in got.collect()) == 80
+
+
+def test_probabilities_of_a_stream():
+    """What the bits of a text cost does not depend on what stands beside it, and both bits' shares add up to one."""
+    import pyarrow as pa
+
+    from addrweave.llm import mixing as X
+
+    draw = np.random.default_rng(1)
+    texts = [" ".join(draw.choice(["aa", "ab", "b", "cc", "é"], 40)) for _ in range(30)]
+    mixer = X.Mixer([np.zeros(16 << b, np.float32) for b in X.ROW_BITS])
+    stream = X.Stream(pa.array(texts))
+    for j in range(X.CONTEXTS):
+        for half, value in enumerate((stream.bytes >> 4, stream.bytes & 15)):
+            np.add.at(mixer.counts[j], stream.rows(j, half) + value, 1)
+    mixer.learn(stream)
+    mixer.finish()
+    costs = mixer.costs.reshape(-1, 2).astype(np.float64)
+    assert np.allclose((10**costs).sum(1), 1, atol=1e-5)
+    whole = np.add.reduceat(mixer.score(stream), stream.begin)
+    alone = [mixer.score(X.Stream(pa.array([t]))).sum() for t in texts]
+    assert np.allclose(whole, alone, rtol=1e-5) and (-whole * math.log2(10) / 8 / np.diff(np.append(stream.begin, len(stream.bytes)))).mean() < 0.6
+    item, of, s = stream.stretches()
+    assert (np.diff(of) >= 0).all() and set(of) == set(range(30))
+
+
+def test_scores_against_plain_counts(spark):
+    """Context shares of stretches, by plain counting over the same stretches."""
+    import pyarrow as pa
+
+    from addrweave.llm import mixing as X
+
+    draw = np.random.default_rng(5)
+    lines = [" ".join(f"w{k}" for k in draw.integers(0, 300, 30)) for _ in range(12)]
+    texts = [(k, " ".join(draw.choice(lines, 3))) for k in range(60)] + [(100 + k, lines[k]) for k in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in score_text(df).collect()}
+    pairs = {}
+    for k, t in texts:
+        _, _, s = X.Stream(pa.array([t])).stretches()
+        pairs[k] = list(zip(s[:-1].tolist(), s[1:].tolist(), strict=True))
+    learned = {k for k in pairs if zlib.crc32(str(k).encode()) % 5 != 1}
+    n = collections.Counter(p for k in learned for p in pairs[k])
+    n_c = collections.Counter(c for k in learned for c, _ in pairs[k])
+    shares: dict = {}
+    for (c, _), times in n.items():
+        if n_c[c] > 1:
+            hit, every = shares.get(int(math.log2(n_c[c] - 1)), (0, 0))
+            shares[int(math.log2(n_c[c] - 1))] = (hit + times * (times > 1), every + times)
+    mixer = X.train(X.keyed(df).where(F.col("doc_id").isin(sorted(learned))))
+    for k, t in texts:
+        stream = X.Stream(pa.array([t]))
+        item, _, s = stream.stretches()
+        bits = np.add.reduceat(mixer.score(stream).astype(np.float64), stream.items[item])
+        own, own_c = collections.Counter(pairs[k] if k in learned else []), collections.Counter(c for c, _ in (pairs[k] if k in learned else []))
+        total = bits[0]
+        for (c, x), b in zip(pairs[k], bits[1:], strict=True):
+            others = n_c[c] - own_c[c]
+            hit, every = shares.get(int(math.log2(others)), (0, 1)) if others else (0, 1)
+            share = min(max(hit / every, 0.01), 0.99) if others else 0
+            total += math.log10(share * (n[c, x] - own[c, x]) / max(others, 1) + (1 - share) * 10**b)
+        assert got[k]["score"] == pytest.approx(total, rel=1e-4), k
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert OPERATORS[name](spark, spark.createDataFrame([], ODD_SCHEMA)).collect() == []
@@ -307,6 +376,7 @@ def test_odd_vectors(spark):
     assert set(got.query_id) == {0, 20, 40} and set(got.vec_id) <= {k for k, _ in good}
     assert (got.groupby("query_id").size() == len(good) - 1).all()
     assert nearest(spark.createDataFrame(odd, "vec_id long, embedding array<float>")).collect() == []
+    assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
 def test_near_duplicates(spark, docs):
@@ -404,15 +474,3 @@ def test_language_behind_equal_openings(spark):
         rows.append((k, own if zlib.crc32(str(k).encode()) % 4 == 2 else f"{opening} {own}", lang))
     got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
     assert got and all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
-
-
-def test_pipeline(spark, docs):
-    import corpus_pipeline as P
-
-    stages = dict(P.STAGES)
-    source = spark.read.parquet(f"{SF}/documents.parquet")
-    left = stages["toxicity"](spark, source, SF).toPandas()
-    scores = rows(spark, "op3_toxicity")
-    assert set(left.doc_id) == set(scores[scores.predicted == 0].doc_id)
-    out = P.run(spark, SF).toPandas()
-    assert set(out.doc_id) <= set(left.doc_id) and out.doc_id.is_unique and len(out) > 0.7 * len(left)
