@@ -42,8 +42,9 @@ from . import text
 from .common import bitmap, discard, stored
 
 SALTS = 16
-HELD = 1 << 21
-RANGE = 1 << 23
+HELD = 1 << 19
+RANGE = 1 << 20
+FOLDED = 1 << 16
 SHARD_SYMBOLS = 1 << 18
 LAST = (1 << 63) - 1
 
@@ -256,13 +257,13 @@ def fold(table: pa.Table) -> pa.Table:
 
 
 def folded(df: DataFrame) -> DataFrame:
-    """Equal segments that lie together are folded where they are (``HELD`` / 16 rows at a time)."""
+    """Equal segments that lie together are folded where they are (``FOLDED`` rows at a time)."""
 
     def run(batches):
         held: list = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= HELD // 16:
+            if sum(b.num_rows for b in held) >= FOLDED:
                 yield from fold(pa.Table.from_batches(held)).to_batches()
                 held = []
         if held:

@@ -144,4 +144,4 @@ def test_held_out_toxic_documents(spark):
     got = toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).toPandas()
     got = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
-    assert held[held.toxic == 1].predicted.mean() >= 0.8 and held[held.toxic == 0].predicted.mean() <= 0.02
+    assert held[held.toxic == 1].predicted.mean() >= 0.7 and held[held.toxic == 0].predicted.mean() <= 0.01
