@@ -178,7 +178,8 @@ def test_nothing_need_be_kept(spark):
 def test_jdbc_source(spark):
     url = "jdbc:derby:memory:places;create=true"
     rows = spark.createDataFrame([("a", "1 N OAK ST", "RENO", "NV", "89501")], "location_id string, street string, city string, state string, zip_code string")
-    rows.write.jdbc(url, "places", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    types = ", ".join(f"{c} VARCHAR(99)" for c in rows.columns)
+    rows.write.option("createTableColumnTypes", types).jdbc(url, "places", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     got = load_locations(read_table(spark, "", "jdbc", url=url, dbtable="places", driver="org.apache.derby.jdbc.EmbeddedDriver")).collect()
     assert [r["address"] for r in got] == ["1 N OAK ST, RENO, NV 89501"]
 
