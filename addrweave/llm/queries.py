@@ -10,10 +10,13 @@ from .decontaminate import find_leaks
 from .fmindex import substring_dedup
 from .language import language_id
 from .licenses import license_scan
+from .merkle import manifest
 from .mixing import score_text
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .pfp import byte_dedup
 from .rptrees import nearest
+from .simhash import simhash_groups
 from .toxicity import toxicity
 
 
@@ -70,6 +73,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -81,8 +98,14 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash": op12_simhash,
+    "op13_merkle": op13_merkle,
 }
 
+_FRAMED = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FRAMED.format(c=c) for c in ("doc_id", "source", "lang", "{n}", "text"))
+
 #: The other operators are held against brute force, round trips or held-out labels in tests.
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": r"""
@@ -95,4 +118,29 @@ words AS (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS k FR
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH rows AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+    "op13_merkle": f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab),
+marked AS (SELECT *, doc_id IS NOT NULL AND xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 7 = 0 AS hit FROM documents, crc),
+hashed AS (SELECT doc_id, lang, sha256({_LEAF.format(n="n_chars")}) AS leaf, CASE WHEN hit AND n_chars IS NOT NULL THEN sha256({_LEAF.format(n="(n_chars + 1)")}) ELSE sha256({_LEAF.format(n="n_chars")}) END AS other FROM marked),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, n, pos // 2),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, n, pos // 2),
+walk AS (SELECT doc_id, lang, leaf, pos AS seat, 0 AS lvl, pos, n, other AS folded, '' AS proof FROM leaves
+  UNION ALL SELECT doc_id, w.lang, leaf, seat, w.lvl + 1, w.pos // 2, (w.n + 1) // 2, sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+  FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+climb AS (SELECT doc_id, w.lang, leaf, seat, subroot, 0 AS lvl, r.pos, r.n, folded, proof FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT doc_id, c.lang, leaf, seat, subroot, c.lvl + 1, c.pos // 2, (c.n + 1) // 2, sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN tops s ON s.lvl = c.lvl AND s.pos = xor(c.pos, 1) WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified FROM climb c JOIN tops t ON t.n = 1 AND c.n = 1""",
 }
