@@ -118,7 +118,7 @@ def steps(node: Column, place: Column, below: int) -> Column:
     return F.array_compact(F.array(*[one(j) for j in range(BITS)]))
 
 
-def proofs(node: Column, above: Column, below: int, digit: int = DIGITS - 1) -> Column:
+def proofs(node: Column, above: Column, below: int, digit: int) -> Column:
     """All lowest children of a nested node, each with its path."""
 
     def child(kid: Column, place: Column) -> Column:
@@ -143,7 +143,7 @@ def descend(trees: list[DataFrame], above: DataFrame | None) -> DataFrame:
             lower = trees[k].select("g", "block", F.struct("height", "node").alias("tree"), F.lit(None).cast(upper.schema["above"].dataType).alias("above"))
             met = lower.unionByName(upper).groupBy("g", "block").agg(F.first("tree", True).alias("tree"), F.first("above", True).alias("above"))
             rows = met.select("g", "tree.*", "above.*")
-        found = rows.select("g", F.explode(proofs(F.col("node"), F.col("path"), k * SPAN)).alias("x"), "subroot", "root")
+        found = rows.select("g", F.explode(proofs(F.col("node"), F.col("path"), k * SPAN, DIGITS - 1)).alias("x"), "subroot", "root")
         above = found.select("g", F.col("x.node").alias("node"), F.col("x.path").alias("path"), "subroot", "root")
         if k:
             above = above.withColumn("place", F.col("node.place"))
