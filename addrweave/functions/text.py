@@ -18,7 +18,7 @@ def ascii_upper(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def cap(c: Column, n: int) -> Column:

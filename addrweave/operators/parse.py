@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonicalize_zip, cap, expand_abbreviations, is_primary_suffix, is_unit_followup, is_unit_token, is_zip_code, normalize_direction, normalize_state, strip_ordinal, tokenize
+from ..storage import spread
 
 
 def _places(array: str, test):
@@ -19,6 +20,7 @@ def parse_addresses(df: DataFrame, text_col: str = "raw_address", out: str = "co
     unit and what follows it, the house number, the first word as direction, the
     first suffix; what stands before the suffix is the street, behind it the city.
     """
+    before = [F.col(c) for c in df.columns if c != out]
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.lit(-1)
     df = df.withColumn("_t", F.when(text != "", tokenize(expand_abbreviations(text))).otherwise(F.array().cast("array<string>")))
@@ -53,10 +55,28 @@ def parse_addresses(df: DataFrame, text_col: str = "raw_address", out: str = "co
     full = (F.col("_p_street_number") != "") & (F.col("_p_street_name") != "")
     df = df.withColumn("_key", F.when(full, cap(F.concat_ws("|", *key), 255)).otherwise(""))
     made = F.struct(*[F.col(f"_p_{k}").alias(k) for k in parts], F.col("_key").alias("canonical_key"))
-    # joins push conditions on a result down through all of these stages unless it
-    # isn't deterministic; row numbers are, but the optimizer can't know
-    made = F.when((F.col("_n") > 0) & (F.monotonically_increasing_id() >= 0), made)
-    return df.withColumn(out, made).drop(*[c for c in "_t _n _z _s _u _v _a _h _number _b _c _f _key".split()], *[f"_p_{k}" for k in parts])
+    # a generator of one row: conditions on the result stay above it, so that no join
+    # computes the rules anew, and conditions on other columns still reach the source
+    made = F.explode(F.array(F.when(F.col("_n") > 0, made))).alias(out)
+    return df.select(*before, made)
+
+
+def parse_distinct(df: DataFrame, text_col: str = "raw_address", out: str = "components") -> DataFrame:
+    """As ``parse_addresses``, with the rules applied once to each distinct text.
+
+    Texts are folded, parsed and joined back on a hash and the text.  Conditions on
+    other columns still reach the source of the rows; the texts that are parsed are
+    those of the whole table, so a lookup of few rows is better parsed row by row.
+    Empty texts are not shuffled.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(text.alias("_text")).where("_text <> ''").distinct()
+    texts = spread(texts, "_text")
+    parsed = parse_addresses(texts, "_text", "_parsed").select(F.xxhash64("_text").alias("_hash"), "_text", "_parsed")
+    before = [c for c in df.columns if c != out]
+    rows = df.withColumns({"_text": text, "_hash": F.xxhash64(text)})
+    found = rows.where("_text <> ''").join(parsed, ["_hash", "_text"], "left").select(*before, F.col("_parsed").alias(out))
+    return found.unionByName(rows.where("_text = ''").select(*before, F.lit(None).cast(found.schema[out].dataType).alias(out)))
 
 
 def canonical_key_index(parsed: DataFrame, id_col: str, components: str = "components") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.parse import parse_addresses
 from ..sources.tables import load_locations, read_addresses
+from ..storage import spread
 
 #: Fixed values of the test inputs.
 DIRECTIONS = "N S E W NE NW SE SW".split()
@@ -55,17 +56,16 @@ def raw_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(o % 10 == 8, typed(F.concat(s, F.lit("."))))
         .otherwise(odd)
     )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")  # one file each
     return orders.join(raw_locations(spark, sf_dir), F.col("o_custkey") == F.col("k")).select(o.alias("record_id"), raw.alias("raw_address"))
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed once and kept: joins would otherwise push their conditions down through the parser."""
-    return parse_addresses(load_locations(raw_locations(spark, sf_dir)), "address").persist()
+    return parse_addresses(load_locations(raw_locations(spark, sf_dir)), "address")
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_addresses(read_addresses(raw_addresses(spark, sf_dir)), "address").persist()
+    return parse_addresses(read_addresses(raw_addresses(spark, sf_dir)), "address")
 
 
 def responses(best: DataFrame, top: DataFrame) -> DataFrame:

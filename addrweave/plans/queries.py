@@ -30,7 +30,7 @@ def _flat(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _scored(spark, d):
-    return C.score_pairs(C.candidate_pairs(addresses(spark, d), locations(spark, d)))
+    return C.scored_pairs(addresses(spark, d), locations(spark, d))
 
 
 def _top(spark, d):
