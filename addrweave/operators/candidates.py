@@ -266,19 +266,23 @@ def _not_equal(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs
 
 
-def keyed_pairs(left: DataFrame, right: DataFrame, tier: str, config: MatchConfig) -> DataFrame:
+def similar_zips(left: DataFrame, right: DataFrame) -> DataFrame:
+    """x and y: different ZIPs of shapes and groups more than 0.8 alike, stored.  Those of five digits never are, so this is most often empty."""
+    of = lambda df, c, name: df.select(F.col(c).alias(name)).distinct()
+    pairs = similar_pairs(of(left, "l_zip", "x"), of(right, "r_zip", "y"), 0.8)
+    return stored(pairs.where((F.col("x") != F.col("y")) & (F.greatest(F.octet_length("x"), F.octet_length("y")) > 5) & (F.col("similarity") > 0.8)))
+
+
+def keyed_pairs(left: DataFrame, right: DataFrame, tier: str, config: MatchConfig, zips: DataFrame | None = None) -> DataFrame:
     """Facts and similarities (n, c) of the pairs of one tier that can reach a threshold.
 
     The tiers are ``number``, ``zip`` (equal ZIPs, no equal numbers) and ``bonus``
-    (different ZIPs more than 0.8 alike, which those of five digits never are; no
-    equal numbers).  Two tables of distances are stored, which the result reads.
+    (pairs of ``zips``, no equal numbers).  Two tables of distances are stored, which the result reads.
     """
     key = "number" if tier == "number" else "zip"
     b = right.where(F.col(f"r_{key}") != "").withColumn("on", F.col(f"r_{key}"))
     if tier == "bonus":
-        of = lambda df, c, name: df.select(F.col(c).alias(name)).distinct()
-        zips = similar_pairs(of(left, "l_zip", "x"), of(right, "r_zip", "y"), 0.8).where((F.col("x") != F.col("y")) & (F.greatest(F.octet_length("x"), F.octet_length("y")) > 5) & (F.col("similarity") > 0.8))
-        a = left.join(stored(zips.select(F.col("x").alias("l_zip"), F.col("y").alias("on"))), "l_zip")
+        a = left.join(zips.select(F.col("x").alias("l_zip"), F.col("y").alias("on")), "l_zip")
     else:
         a = left.where(F.col(f"l_{key}") != "").withColumn("on", F.col(f"l_{key}"))
     met = split_join(a.select("on", "l_city").distinct(), b.select("on", "r_city").distinct(), ["on"], "l_city", "r_city")
@@ -338,7 +342,9 @@ def with_scores(facts: DataFrame, config: MatchConfig) -> DataFrame:
 def all_pairs(left: DataFrame, index: LocationIndex, config: MatchConfig) -> DataFrame:
     """Scored pairs of shapes and groups, every one that reaches a threshold."""
     values = similar_values(left, index.groups, config)
-    tiers = [with_scores(keyed_pairs(left, index.groups, tier, config), config) for tier in ("number", "zip", "bonus")]
+    zips = similar_zips(left, index.groups)
+    tiers = ["number", "zip"] if zips.isEmpty() else ["number", "zip", "bonus"]
+    tiers = [with_scores(keyed_pairs(left, index.groups, tier, config, zips), config) for tier in tiers]
     named = with_scores(named_pairs(names_of(left), index.groups, values, config), config)
     return _union([*tiers, for_shapes(named, left, index.groups)])
 

@@ -19,6 +19,7 @@ def parse_addresses(df: DataFrame, text_col: str = "raw_address", out: str = "co
     The rules take tokens away in turn: the last ZIP, the last word as state, the
     unit and what follows it, the house number, the first word as direction, the
     first suffix; what stands before the suffix is the street, behind it the city.
+    Other columns are kept; names that begin with an underscore are the parser's.
     """
     before = [F.col(c) for c in df.columns if c != out]
     text = F.coalesce(F.col(text_col), F.lit(""))

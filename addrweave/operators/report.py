@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vocab import COMPONENTS, WEIGHTS
@@ -58,5 +58,10 @@ def audit_zip_mismatch(best: DataFrame, locations: DataFrame) -> DataFrame:
     return rows.where((mine != "") & (F.col("location_zip") != "") & (mine != F.col("location_zip"))).select("record_id", "location_id", mine.alias("address_zip"), "location_zip", "confidence")
 
 
+def with_outcome_counts(results: DataFrame, counts: Observation) -> DataFrame:
+    """The same rows; ``counts`` gets how many are ``empty``, ``matched`` and ``no_match`` by the job that writes them."""
+    return results.observe(counts, *[F.count_if(F.col("outcome") == name).alias(name) for name in ("empty", "matched", "no_match")])
+
+
 def location_count(locations: DataFrame) -> DataFrame:
     return locations.agg(F.count("*").alias("locations"))

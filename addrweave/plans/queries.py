@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,10 @@ from ..operators import candidates as C
 from ..operators import match as M
 from ..operators import report as P
 from ..operators import rerank as R
-from ..operators.parse import canonical_key_index
+from ..operators.keys import KeyIndex
+from ..operators.parse import canonical_key_index, parse_distinct
 from ..sources.tables import load_locations, read_addresses, read_rerank_decisions
+from ..storage import new_folder
 from ..streaming.stream import match_stream
 from .fixtures import addresses, locations, raw_addresses, raw_locations, responses
 
@@ -76,6 +77,20 @@ def q_canonical_key_index(spark, d):
     return canonical_key_index(addresses(spark, d), "record_id")
 
 
+def q_parse_distinct(spark, d):
+    return _flat(parse_distinct(read_addresses(raw_addresses(spark, d)), "address"), "record_id")
+
+
+def q_seen_addresses(spark, d):
+    """Addresses whose key a stored index of locations holds; the locations come in two inserts."""
+    index = KeyIndex(spark, f"keys_{uuid.uuid4().hex}", new_folder(spark))
+    places = locations(spark, d)
+    half = F.pmod(F.xxhash64("location_id"), F.lit(2))
+    for k in (0, 1):
+        index.insert(places.where(half == k), "location_id")
+    return index.seen(addresses(spark, d)).withColumn("representative", F.coalesce("representative", F.lit("-")))
+
+
 def q_similarity_ratio(spark, d):
     names = locations(spark, d).select(F.col("components.street_name").alias("a")).distinct()
     return names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", F.round(similarity_ratio(F.col("a"), F.col("b")), 6).alias("similarity"))
@@ -146,17 +161,9 @@ def q_parse_rerank_decisions(spark, d):
     return R.parse_rerank_decisions(responses(None, top)).select("record_id", "location_id", _r6("confidence"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def q_read_rerank_decisions(spark, d):
     """Responses written as lines and read back."""
-    path = _folder(spark)
+    path = new_folder(spark)
     responses(None, _top(spark, d)).select(F.concat_ws("\t", F.col("record_id").cast("string"), "response").alias("value")).write.text(path)
     return read_rerank_decisions(spark, path)
 
@@ -173,7 +180,7 @@ def q_score_payloads(spark, d):
 
         return [f"location_id={json.loads(p)['candidates'][0]['location_id']} confidence=0.9" for p in payloads]
 
-    return R.score_payloads(q_rerank_payloads(spark, d), first)
+    return R.score_payloads(q_rerank_payloads(spark, d), first).select("record_id", "response")
 
 
 def q_audit_zip_mismatch(spark, d):
@@ -190,7 +197,7 @@ def q_location_count(spark, d):
 
 def q_match_stream(spark: SparkSession, d: str) -> DataFrame:
     """Addresses as a stream of files, matched batch by batch."""
-    root = _folder(spark)
+    root = new_folder(spark)
     rows = raw_addresses(spark, d)
     rows.write.parquet(f"{root}/in")
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/in")

@@ -157,6 +157,8 @@ ORACLE_SQL = {
     "tokenize": f"WITH {_LOCATIONS},\n{_ADDRESSES}, b AS (SELECT record_id, {_TOKENS.format(b=_expand('address'))} AS t FROM cleaned) SELECT record_id, CAST(i - 1 AS INTEGER) AS place, t[i] AS token FROM (SELECT record_id, t, unnest(range(1, len(t) + 1)) AS i FROM b)",
     "canonicalize_zip": f"WITH {_LOCATIONS},\n{_ADDRESSES} SELECT record_id, substr({_zip('raw_address')}, 1, 31) AS zip FROM raw_addresses",
     "parse_addresses": f"{_BOTH} SELECT record_id, {_C} FROM adr",
+    "parse_distinct": f"{_BOTH} SELECT record_id, {_C} FROM adr",
+    "seen_addresses": f"{_BOTH}, k AS (SELECT canonical_key, min(location_id) AS representative, count(*) AS members FROM loc WHERE canonical_key <> '' GROUP BY canonical_key) SELECT record_id, canonical_key, coalesce(representative, '-') AS representative, coalesce(members, 0) AS members FROM adr LEFT JOIN k USING (canonical_key) WHERE canonical_key <> ''",
     "parse_locations": f"{_BOTH} SELECT location_id, {_C} FROM loc",
     "canonical_key_index": f"{_BOTH} SELECT canonical_key, min(record_id) AS representative, count(*) AS members FROM adr WHERE canonical_key <> '' GROUP BY canonical_key",
     "similarity_ratio": f"{_BOTH}, names AS (SELECT DISTINCT street_name AS a FROM loc) SELECT x.a AS a, y.a AS b, round({_sim('x.a', 'y.a')}, 6) AS similarity FROM names x JOIN names y ON x.a < y.a",

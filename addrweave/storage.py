@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT: ContextVar[str | None] = ContextVar("root", default=None)
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,7 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{_ROOT.get() or shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables stored inside go to one folder, which is deleted at the end: write results before."""
+    root = new_folder(spark)
+    token = _ROOT.set(root)
+    try:
+        yield root
+    finally:
+        _ROOT.reset(token)
+        delete_folder(spark, root)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:

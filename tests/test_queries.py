@@ -1,8 +1,11 @@
 """Every address query against its SQL twin."""
 
+from functools import cache
+
 import duckdb
 import pytest
 
+from addrweave.plans import queries
 from addrweave.plans.queries import QUERIES
 from addrweave.plans.sql import ORACLE_SQL
 
@@ -17,6 +20,15 @@ def tables():
     return db
 
 
+@pytest.fixture(scope="module", autouse=True)
+def matched_once():
+    """Queries that report on the same candidates share one match."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_top", "_scored"):
+            patch.setattr(queries, name, cache(getattr(queries, name)))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, tables, name):
     mine, theirs = QUERIES[name](spark, SF).toPandas(), tables.execute(ORACLE_SQL[name]).df()
