@@ -301,9 +301,18 @@ def keyed_pairs(left: DataFrame, right: DataFrame, tier: str, config: MatchConfi
 
 
 def named_pairs(left: DataFrame, right: DataFrame, values: DataFrame, config: MatchConfig) -> DataFrame:
-    """Facts and similarities of pairs of rows that can reach a threshold without equal or similar numbers and ZIPs, as if there were none."""
-    blank = {f"{side}_{k}": F.lit("") for side in "lr" for k in ("number", "zip", "key")}
-    pairs = left.join(values, ["l_street", "l_city"]).join(right, ["r_street", "r_city"]).withColumns(blank)
+    """Facts and similarities of pairs of rows that can reach a threshold without equal or similar numbers and ZIPs, as if there were none.
+
+    Values that need equal directions, suffixes and states too are joined on all of them.
+    """
+    near = left.join(values, ["l_street", "l_city"])
+    loose = reachable(config, F.col("n"), F.col("c"), 2.0)
+    rests = ("direction", "suffix", "state")
+    strict = near.where(~loose).withColumns({f"r_{k}": F.col(f"l_{k}") for k in rests})
+    for k in rests:
+        strict = strict.where(F.col(f"r_{k}") != "")
+    pairs = near.where(loose).join(right, ["r_street", "r_city"]).unionByName(strict.join(right, ["r_street", "r_city", *[f"r_{k}" for k in rests]]))
+    pairs = pairs.withColumns({f"{side}_{k}": F.lit("") for side in "lr" for k in ("number", "zip", "key")})
     rest = sum((F.col(c) for c in _REST), F.lit(0.0))
     return _facts(pairs).where(reachable(config, F.col("n"), F.col("c"), rest))
 
