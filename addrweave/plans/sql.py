@@ -113,7 +113,7 @@ merged AS (SELECT *, greatest(canonical, structured, fuzzy) AS confidence FROM s
 named AS (SELECT *, CASE WHEN canonical = confidence THEN 'canonical' WHEN structured = confidence THEN 'structured' ELSE 'fuzzy' END AS strategy FROM merged),
 candidates AS (SELECT *, CASE strategy WHEN 'canonical' THEN 'canonical_key_match' WHEN 'structured' THEN 'weighted_component_score' ELSE 'approximate_text_similarity' END AS reason FROM named),
 top AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY confidence DESC, location_id) AS INTEGER) AS rank FROM candidates) WHERE rank <= 5),
-best AS (SELECT a.*, t.location_id, t.confidence, coalesce(t.strategy, 'none') AS selected_strategy, coalesce(printf('%.3f', t.confidence), '0.00') AS selected_confidence FROM adr a LEFT JOIN top t ON a.record_id = t.record_id AND t.rank = 1)"""
+best AS MATERIALIZED (SELECT a.*, t.location_id, t.confidence, coalesce(t.strategy, 'none') AS selected_strategy, coalesce(printf('%.3f', t.confidence), '0.00') AS selected_confidence FROM adr a LEFT JOIN top t ON a.record_id = t.record_id AND t.rank = 1)"""
 
 _C = ", ".join(f"CASE WHEN n > 0 THEN {c} ELSE '-' END AS {c}" for c in COMPONENTS)
 _ONE = "SELECT record_id, location_id, round({s}, 6) AS confidence, '{s}' AS strategy, '{r}' AS reason FROM scored WHERE {s} IS NOT NULL"
@@ -136,8 +136,8 @@ _COLUMNS = ("street", "city", "state", "postal_code")
 _CONFIDENCE = """',"confidence":' || printf('%.3f', {t}.confidence) || ','"""
 _LISTED = f"""'{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), ("reason", "t.reason"))} || '}}'"""
 _PAIRS_OF = " || ',' || ".join(f"""'"{k}":{{"value":"' || b.{c} || '|' || r.{c} || '","weight":' || printf('%.2f', {_WEIGHT[k]}::DOUBLE * t.{k}) || '}}'""" for k, c in _SIDES.items())
-_DOCUMENTS = f"""lists AS (SELECT record_id, string_agg({_LISTED}, ',' ORDER BY rank) AS list FROM top t GROUP BY record_id),
-bests AS (SELECT b.record_id, '{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), ("reason", "t.reason"), *[(c, f"p.{c}") for c in _COLUMNS])} || ',"breakdown":{{' || {_PAIRS_OF} || '}}}}' AS best
+_DOCUMENTS = f"""lists AS MATERIALIZED (SELECT record_id, string_agg({_LISTED}, ',' ORDER BY rank) AS list FROM top t GROUP BY record_id),
+bests AS MATERIALIZED (SELECT b.record_id, '{{' || {_text(("location_id", "t.location_id"))} || {_CONFIDENCE.format(t="t")} || {_text(("strategy", "t.strategy"), ("reason", "t.reason"), *[(c, f"p.{c}") for c in _COLUMNS])} || ',"breakdown":{{' || {_PAIRS_OF} || '}}}}' AS best
   FROM best b JOIN top t ON t.record_id = b.record_id AND t.rank = 1 JOIN loc r ON b.location_id = r.location_id JOIN loaded p ON b.location_id = p.location_id)
 SELECT b.record_id, '{{"best_candidate":' || coalesce(best, 'null') || ',"candidates":[' || coalesce(list, '') || '],"diagnostics":{{' || {_text(("selected_strategy", "selected_strategy"), ("selected_confidence", "selected_confidence"))}
   || '}},"record_components":{{' || {_text(*[(c, f"CASE WHEN n > 0 THEN b.{c} ELSE '' END") for c in COMPONENTS])} || '}}}}' AS document
