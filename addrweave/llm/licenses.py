@@ -1,20 +1,29 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of the texts are joined to the k-grams of license
-templates.  A shared gram votes for its diagonal, the offset of the text's word
-from the template's word: a whole license text keeps one diagonal, an edit moves
-to a neighbouring one.  Votes are summed by diagonal.  Diagonals of a template at
-most half of its words apart (``NEIGHBOUR`` at least) are merged, so insertions up
-to that length are bridged, and a merged span with as many votes as the wanted
-similarity leaves at least is verified by the longest common subsequence of its
-words with the template's words.
-
-The templates' gram table has at most as many rows as the templates have words.
-A fixed bitmap of 2**BITMAP_BITS places keeps most grams without a partner from
+All rolling word pairs of the texts, adjacent or with one word between them, are
+joined to the adjacent pairs of license templates.  A shared pair votes for its
+diagonal, the offset of the text's word from the template's word: a whole license
+text keeps one diagonal, an edit moves to a neighbouring one.  Votes are summed by
+diagonal, then over the diagonals up to ``reach`` behind each (1.2 times a
+template's words: all of them put in, a fifth taken out).  Diagonals that start
+such a stretch with enough votes are merged where they are neighbours, and the
+merged spans are verified by the longest common subsequence of their words with
+the template's words.  A span's similarity is the share of the template's words
+that stand in order in a text window of about 2.5 times its words.
+
+What voting can't lose: spans of at least ``MIN_SIMILARITY`` where one word is put
+in anywhere, any number of times, and two or more at once in fewer places than
+three tenths of the template's words (see ``votes_needed``).
+
+The templates' pair table has at most as many rows as the templates have words.
+A fixed bitmap of 2**BITMAP_BITS places keeps most pairs without a partner from
 the join; what it lets pass by chance finds no partner there.  Texts are read
 again for the verification of the documents that have spans.
 
-Nulls and empty texts: no words, no labels.  Repeated rows get equal results.
+Nulls and empty texts: no words, no labels, score 0.  Repeated rows get equal
+results.  Very long texts are scanned whole, in windows.  Of several spans of a
+text the best similarity is its score.  Further columns of the input are not
+read.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,10 +37,9 @@ from . import text
 from .common import documents, per_block
 from .license_texts import LINES, OPENINGS, TEXTS
 
-K = 3
-NEIGHBOUR = 3
 BITMAP_BITS = 20
 MIN_SIMILARITY = 0.8
+UNIT = 1024
 BROADCAST_ROWS = 100_000
 
 #: Phrases and labels of the base scan.
@@ -89,7 +97,10 @@ def base_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
 
 
 def hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
-    """doc_id, key, gram and at (word) of the texts' grams that a bitmap of ``grams`` lets pass."""
+    """doc_id, key, gram and at (word) of the texts' pairs that a bitmap of ``grams`` lets pass.
+
+    Pairs of adjacent words, and of words with one between them.
+    """
     mask = np.uint64((1 << BITMAP_BITS) - 1)
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[grams & mask] = True
@@ -97,11 +108,15 @@ def hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     def run(block):
         words, first = _words(block.column("text"))
         rows = text.owners(first)
-        found = text.grams(words, K)
-        at = np.flatnonzero(bitmap[found & mask])
-        at = at[rows[at] == rows[at + K - 1]] if len(at) else at
+        met = []
+        for apart in (1, 2):
+            found = text.pairs(words, apart)
+            at = np.flatnonzero(bitmap[found & mask])
+            at = at[rows[at] == rows[at + apart]]
+            met.append((at, found[at]))
+        at, found = map(np.concatenate, zip(*met, strict=True))
         take = pa.array(rows[at])
-        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(found[at].view(np.int64)), pa.array(at - first[rows[at]])], ["doc_id", "key", "gram", "at"])
+        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(found.view(np.int64)), pa.array(at - first[rows[at]])], ["doc_id", "key", "gram", "at"])
 
     return per_block(docs, run, "doc_id long, key long, gram long, at long")
 
@@ -115,33 +130,42 @@ def _similar(words: np.ndarray, template: np.ndarray) -> float:
     return float(row[-1]) / len(template)
 
 
-def votes_needed(words: int, similarity: float = MIN_SIMILARITY) -> int:
-    """Shared grams that a text as similar as wanted has at least: a wrong word spoils K grams."""
-    return max(1, words - K + 1 - K * int((1 - similarity) * words + 1e-9))
+def votes_needed(words: int) -> int:
+    """Votes that a span has at least.
+
+    Of a template's n - 1 adjacent pairs a lost word spoils two and a place with
+    two or more words put in spoils one: with a fifth of the words lost and fewer
+    than 0.3 n such places, 0.3 n are left.
+    """
+    return max(1, int(0.3 * words))
 
 
 def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified license spans: doc_id, key, label, start (word), similarity."""
     spark = docs.sparkSession
     sequences = _template_words(templates)
-    table = [(int(g), t, p, votes_needed(len(s)), max(NEIGHBOUR, len(s) // 2)) for t, s in enumerate(sequences) for p, g in enumerate(text.grams(s, K).view(np.int64))]
-    positions = spark.createDataFrame(table, "gram long, template int, place int, needed int, near int")
+    reaches = [len(s) + len(s) // 5 + 1 for s in sequences]
+    table = [(int(g), t, p, votes_needed(len(s)), reaches[t]) for t, s in enumerate(sequences) for p, g in enumerate(text.pairs(s, 1).view(np.int64))]
+    positions = spark.createDataFrame(table, "gram long, template int, place int, needed int, reach int")
     if len(table) <= BROADCAST_ROWS:
         positions = F.broadcast(positions)
     votes = (
         hits(docs, np.array([row[0] for row in table], np.int64).view(np.uint64))
         .distinct()  # repeated rows vote once
         .join(positions, "gram")
-        .groupBy("doc_id", "key", "template", "needed", "near", (F.col("at") - F.col("place")).alias("diagonal"))
+        .groupBy("doc_id", "key", "template", "needed", "reach", (F.col("at") - F.col("place")).alias("diagonal"))
         .agg(F.countDistinct("place").alias("votes"))
     )
-    each = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(each) > F.col("near")
+    each = Window.partitionBy("doc_id", "key", "template")
+    scaled = F.floor(F.col("diagonal") * UNIT / F.col("reach"))  # one reach is UNIT at any template
+    ahead = F.sum("votes").over(each.orderBy("scaled").rangeBetween(0, UNIT))
+    warm = votes.withColumn("scaled", scaled).withColumn("ahead", ahead).where("ahead >= needed")
+    each = each.orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(each) > F.col("reach")
     merged = (
-        votes.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(each))
-        .groupBy("doc_id", "key", "template", "cluster", "needed")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-        .where("votes >= needed")
+        warm.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(each))
+        .groupBy("doc_id", "key", "template", "cluster")
+        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
         .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
     )
@@ -152,11 +176,13 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         for r, (doc_id, key, found) in enumerate(zip(*(block.column(c).to_pylist() for c in ("doc_id", "key", "spans")), strict=True)):
             own = words[first[r] : first[r + 1]]
             for span in found:
-                template = sequences[span["template"]]
-                a = max(0, span["low"])
-                alike = _similar(own[a : max(0, span["high"]) + len(template)], template)
-                if alike >= MIN_SIMILARITY:
-                    out.append((doc_id, key, templates[span["template"]][0], a, alike))
+                template, reach = sequences[span["template"]], reaches[span["template"]]
+                step = max(1, len(template) // 4)
+                for low in range(span["low"], span["high"] + 1, step):  # each diagonal's window is inside of one of these
+                    a, b = max(0, low), low + step + reach + len(template)
+                    alike = _similar(own[a : max(0, b)], template)
+                    if alike >= MIN_SIMILARITY:
+                        out.append((doc_id, key, templates[span["template"]][0], a, alike))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "label", "start", "similarity"])

@@ -106,6 +106,11 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of each word hash with the one ``apart`` places behind (texts are not kept apart)."""
+    return mix(words[: max(0, len(words) - apart)] * np.uint64(_BASE) + words[apart:])
+
+
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys have their bit set."""
     bit = keys & np.uint64((len(bitmap) << 6) - 1)

@@ -474,3 +474,64 @@ def test_language_behind_equal_openings(spark):
         rows.append((k, own if zlib.crc32(str(k).encode()) % 4 == 2 else f"{opening} {own}", lang))
     got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
     assert got and all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+
+
+def _scattered(words, kind, draw):
+    """A license's words with ``kind`` edits."""
+    x = lambda: f"x{draw.integers(0, 500)}"
+    name, share = kind
+    out = []
+    for j, w in enumerate(words):
+        hit = draw.random() < share if isinstance(share, float) else j % share == share - 1
+        if name == "put in":
+            out += [w, x()] if hit else [w]
+        elif name == "changed":
+            out.append(x() if hit else w)
+        elif not hit:
+            out.append(w)
+    return out
+
+
+KINDS = [("put in", 1), ("put in", 2), ("put in", 3), *((kind, share) for kind in ("put in", "changed", "left out") for share in (0.0, 0.05, 0.1, 0.15))]
+
+
+def test_scattered_edits_of_licenses(spark):
+    """Words put in behind every word, every second and every third; random edits of up to 15 %.
+
+    A text is wanted if its words hold 0.8 of the template's by plain dynamic programming.
+    """
+    from addrweave.llm.licenses import TEMPLATES
+
+    draw = np.random.default_rng(11)
+    plain = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(ASCII))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1] / len(b)
+
+    rows, wanted = [], {}
+    for t, (label, body) in enumerate(TEMPLATES):
+        for k, kind in enumerate(KINDS):
+            own = _scattered(plain(body), kind, draw)
+            doc_id = 100 * t + k
+            rows.append((doc_id, " ".join([*(f"y{j}" for j in range(20)), *own, *(f"z{j}" for j in range(20))])))
+            if common(own, plain(body)) >= 0.8:
+                wanted[doc_id] = label
+    rows.append((9001, "Released under an MIT License."))
+    wanted[9001] = "mit"
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(wanted) > 200
+    assert [(k, label) for k, label in wanted.items() if label not in got[k]["labels"].split(",")] == []
+
+
+def test_a_long_text_of_scattered_license_words_is_no_license(spark):
+    """The words of a license, in order but far apart, are not one."""
+    words = next(body for label, body in TEXTS if label == "mit" and len(body.split()) > 100).split()
+    far = " ".join(f"{w} a{j} b{j} c{j} d{j} e{j} f{j}" for j, w in enumerate(words))
+    got = license_scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()
+    assert (got["labels"], got["score"]) == ("", 0.0)
