@@ -87,6 +87,18 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    out = license_scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    out = score_text(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -101,12 +113,19 @@ QUERIES = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
+    "license_phrases": license_phrases,
+    "word_scores": word_scores,
 }
 
+_CRC = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab)"""
+_CRC_OF = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
 _FRAMED = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
 _LEAF = " || ".join(_FRAMED.format(c=c) for c in ("doc_id", "source", "lang", "{n}", "text"))
 
-#: The other operators are held against brute force, round trips or held-out labels in tests.
+#: What SQL can't express is held against brute force, round trips or held-out labels in tests.
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": r"""
 WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS t FROM documents),
@@ -118,6 +137,45 @@ words AS (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS k FR
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op6_suffix_array": """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 1049) AS piece FROM texts, unnest(range(0, CAST(greatest(len(h) // 2 - 49, 0) AS BIGINT), 1000)) AS r(o)),
+windows AS (SELECT doc_id, o + j AS i, md5_number(substr(piece, 2 * j + 1, 100)) AS w FROM pieces, unnest(range(0, CAST(least(len(piece) // 2 - 49, 1000) AS BIGINT))) AS r(j)),
+lowest AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w),
+hits AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM windows JOIN lowest USING (w) WHERE low < doc_id),
+runs AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS free FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS left_over FROM before JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)""",
+    "op8_near_duplicates": f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS} AS t FROM documents),
+nodes AS (SELECT t, min(doc_id) AS node FROM texts WHERE len(t) > 0 GROUP BY t),
+shingles AS (SELECT DISTINCT node, array_to_string(t[i:i + 2], ' ') AS s FROM nodes, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS r(i)),
+sizes AS (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+each AS (SELECT node, s, n FROM shingles JOIN sizes USING (node)),
+links AS (SELECT a.node AS x, b.node AS y FROM each a JOIN each b ON a.s = b.s AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (SELECT node, node AS component FROM nodes UNION SELECT y, component FROM reached JOIN links ON x = node),
+lowest AS (SELECT node, min(component) AS component FROM reached GROUP BY node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM texts LEFT JOIN nodes USING (t) LEFT JOIN sizes USING (node) LEFT JOIN lowest USING (node)""",
+    "license_phrases": rf"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS t FROM documents),
+words AS (SELECT doc_id, unnest(t) AS w, unnest(range(0, len(t))) AS k FROM texts),
+ahead AS (SELECT doc_id, w, k, lead(w, 1) OVER each AS w1, lead(w, 2) OVER each AS w2, lead(w, 3) OVER each AS w3 FROM words WINDOW each AS (PARTITION BY doc_id ORDER BY k)),
+met AS (SELECT doc_id, k, CASE WHEN w = 'gnu' AND w1 = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' WHEN w = 'apache' AND w1 = 'license' THEN 'apache' WHEN w = 'cc' AND w1 = 'by' THEN 'cc-by' WHEN w = 'mit' AND w1 = 'license' THEN 'mit' END AS label FROM ahead),
+found AS (SELECT doc_id, count(*) AS n, min(k) AS a, max(k) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM met WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM texts LEFT JOIN found USING (doc_id)""",
+    "word_scores": f"""
+WITH {_CRC},
+texts AS (SELECT doc_id, {_CRC_OF} % 5 = 1 AS held_out, list_append({_WORDS}, '') AS t FROM documents, crc),
+words AS (SELECT doc_id, held_out, unnest(t) AS w FROM texts),
+counts AS (SELECT w, count(*) AS c FROM words WHERE NOT held_out GROUP BY w),
+facts AS (SELECT sum(c) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM words LEFT JOIN counts USING (w), facts GROUP BY doc_id, held_out""",
     "op11_hard_negatives": """
 WITH rows AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
