@@ -96,14 +96,32 @@ def base_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
     return per_block(docs, run, "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
-def hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
-    """doc_id, key, gram and at (word) of the texts' pairs that a bitmap of ``grams`` lets pass.
-
-    Pairs of adjacent words, and of words with one between them.
+def hits(docs: DataFrame, sequences: list[np.ndarray]) -> DataFrame:
+    """doc_id, key, template, gram and at (word) of the texts' pairs that can be of a span.
+
+    Pairs of adjacent words, and of words with one between them.  A bitmap drops
+    most pairs of no template.  A pair is handed on for a template that has it if
+    a stretch of text as long as the template's spans holds as many of its pairs
+    as it needs votes, each counted as often as the template has it at most: a
+    bound on the votes, so no span is lost.
     """
     mask = np.uint64((1 << BITMAP_BITS) - 1)
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    bitmap[grams & mask] = True
+    wanted = []
+    for s in sequences:
+        grams, times = np.unique(text.pairs(s, 1), return_counts=True)
+        bitmap[grams & mask] = True
+        wanted.append((grams, times, votes_needed(len(s)), reach(len(s)) + len(s)))
+
+    def dense(at: np.ndarray, number: np.ndarray, times: np.ndarray, needed: int, wide: int) -> np.ndarray:
+        """Which places lie in a stretch of ``wide`` words with as many votes as needed."""
+        end = np.searchsorted(at, at + wide)
+        full = np.flatnonzero(end - np.arange(len(at)) >= needed)
+        good = np.array([np.minimum(np.bincount(number[a:b]), times[: number[a:b].max() + 1]).sum() >= needed for a, b in zip(full.tolist(), end[full].tolist(), strict=True)], bool)
+        edge = np.zeros(len(at) + 1, np.int64)
+        np.add.at(edge, full[good], 1)
+        np.subtract.at(edge, end[full[good]], 1)
+        return np.cumsum(edge[:-1]) > 0
 
     def run(block):
         words, first = _words(block.column("text"))
@@ -115,10 +133,20 @@ def hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
             at = at[rows[at] == rows[at + apart]]
             met.append((at, found[at]))
         at, found = map(np.concatenate, zip(*met, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, found = at[order], found[order]
+        out = []
+        for t, (grams, times, needed, wide) in enumerate(wanted):
+            number = np.minimum(np.searchsorted(grams, found), max(len(grams) - 1, 0))
+            own = np.flatnonzero(grams[number] == found) if len(grams) else at[:0]
+            own = own[dense(at[own], number[own], times, needed, wide)]
+            out.append((own, np.full(len(own), t)))
+        own, template = map(np.concatenate, zip(*out, strict=True)) if out else (at[:0], at[:0])
+        at, found = at[own], found[own]
         take = pa.array(rows[at])
-        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(found.view(np.int64)), pa.array(at - first[rows[at]])], ["doc_id", "key", "gram", "at"])
+        return pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("key").take(take), pa.array(template.astype(np.int32)), pa.array(found.view(np.int64)), pa.array(at - first[rows[at]])], ["doc_id", "key", "template", "gram", "at"])
 
-    return per_block(docs, run, "doc_id long, key long, gram long, at long")
+    return per_block(docs, run, "doc_id long, key long, template int, gram long, at long")
 
 
 def _similar(words: np.ndarray, template: np.ndarray) -> float:
@@ -140,21 +168,25 @@ def votes_needed(words: int) -> int:
     return max(1, int(0.3 * words))
 
 
+def reach(words: int) -> int:
+    """How far a span's diagonals lie apart: all words put in once, a fifth left out."""
+    return words + words // 5 + 1
+
+
 def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified license spans: doc_id, key, label, start (word), similarity."""
     spark = docs.sparkSession
     sequences = _template_words(templates)
-    reaches = [len(s) + len(s) // 5 + 1 for s in sequences]
+    reaches = [reach(len(s)) for s in sequences]
     table = [(int(g), t, p, votes_needed(len(s)), reaches[t]) for t, s in enumerate(sequences) for p, g in enumerate(text.pairs(s, 1).view(np.int64))]
     positions = spark.createDataFrame(table, "gram long, template int, place int, needed int, reach int")
     if len(table) <= BROADCAST_ROWS:
         positions = F.broadcast(positions)
     votes = (
-        hits(docs, np.array([row[0] for row in table], np.int64).view(np.uint64))
-        .distinct()  # repeated rows vote once
-        .join(positions, "gram")
+        hits(docs, sequences)
+        .join(positions, ["gram", "template"])
         .groupBy("doc_id", "key", "template", "needed", "reach", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.countDistinct("place").alias("votes"))
+        .agg(F.count("*").alias("votes"))  # repeated rows vote again: more spans are verified, none is lost
     )
     each = Window.partitionBy("doc_id", "key", "template")
     scaled = F.floor(F.col("diagonal") * UNIT / F.col("reach"))  # one reach is UNIT at any template
@@ -176,10 +208,10 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         for r, (doc_id, key, found) in enumerate(zip(*(block.column(c).to_pylist() for c in ("doc_id", "key", "spans")), strict=True)):
             own = words[first[r] : first[r + 1]]
             for span in found:
-                template, reach = sequences[span["template"]], reaches[span["template"]]
+                template, far = sequences[span["template"]], reaches[span["template"]]
                 step = max(1, len(template) // 4)
                 for low in range(span["low"], span["high"] + 1, step):  # each diagonal's window is inside of one of these
-                    a, b = max(0, low), low + step + reach + len(template)
+                    a, b = max(0, low), low + step + far + len(template)
                     alike = _similar(own[a : max(0, b)], template)
                     if alike >= MIN_SIMILARITY:
                         out.append((doc_id, key, templates[span["template"]][0], a, alike))
