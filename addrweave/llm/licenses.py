@@ -11,6 +11,9 @@ merged spans are verified by the longest common subsequence of their words with
 the template's words.  A span's similarity is the share of the template's words
 that stand in order in a text window of about 2.5 times its words.
 
+Where spans of two labels lie on one another, one that matches fewer words and is
+less similar goes: a line on CC BY-NC is none on CC BY-SA.
+
 What voting can't lose: spans of at least ``MIN_SIMILARITY`` where one word is put
 in anywhere, any number of times, and two or more at once in fewer places than
 three tenths of the template's words (see ``votes_needed``).
@@ -28,6 +31,8 @@ read.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -149,13 +154,37 @@ def hits(docs: DataFrame, sequences: list[np.ndarray]) -> DataFrame:
     return per_block(docs, run, "doc_id long, key long, template int, gram long, at long")
 
 
-def _similar(words: np.ndarray, template: np.ndarray) -> float:
-    """Longest common subsequence, as a share of the template."""
+def _common(words: np.ndarray, template: np.ndarray) -> tuple[int, int]:
+    """Length of the longest common subsequence, and the words up to its end."""
     row = np.zeros(len(template) + 1, np.int64)
-    for w in words:
+    end = 0
+    for k, w in enumerate(words):
+        before = row[-1]
         step = np.where(template == w, row[:-1] + 1, 0)
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
-    return float(row[-1]) / len(template)
+        if row[-1] > before:
+            end = k + 1
+    return int(row[-1]), end
+
+
+def _not_outdone(found: list[tuple]) -> list[tuple]:
+    """The spans (begin, end, matched, similarity, label) that no other label's span outdoes.
+
+    One outdoes another if it covers half of its place, matches as many words and
+    is as similar, and is better in one of the two.  Ties stay.
+    """
+    better = lambda x, y: x[2] >= y[2] and x[3] >= y[3] and x[2:4] != y[2:4]
+    over = lambda x, y: 2 * (min(x[1], y[1]) - max(x[0], y[0])) >= y[1] - y[0]
+    found = sorted(set(found))
+    kept, at = [], 0
+    longest = max((x[1] - x[0] for x in found), default=0)
+    for y in found:
+        while found[at][0] + longest < y[0]:
+            at += 1
+        near = itertools.takewhile(lambda x: x[0] <= y[1], itertools.islice(found, at, None))  # noqa: B023
+        if not any(x[4] != y[4] and over(x, y) and better(x, y) for x in near):  # noqa: B023
+            kept.append(y)
+    return kept
 
 
 def votes_needed(words: int) -> int:
@@ -207,14 +236,17 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         out = []
         for r, (doc_id, key, found) in enumerate(zip(*(block.column(c).to_pylist() for c in ("doc_id", "key", "spans")), strict=True)):
             own = words[first[r] : first[r + 1]]
+            met = []
             for span in found:
                 template, far = sequences[span["template"]], reaches[span["template"]]
                 step = max(1, len(template) // 4)
                 for low in range(span["low"], span["high"] + 1, step):  # each diagonal's window is inside of one of these
-                    a, b = max(0, low), low + step + far + len(template)
-                    alike = _similar(own[a : max(0, b)], template)
-                    if alike >= MIN_SIMILARITY:
-                        out.append((doc_id, key, templates[span["template"]][0], a, alike))
+                    a, b = max(0, low), max(0, low + step + far + len(template))
+                    matched, end = _common(own[a:b], template)
+                    if matched >= MIN_SIMILARITY * len(template):
+                        _, back = _common(own[a : a + end][::-1], template[::-1])
+                        met.append((a + end - back, a + end, matched, matched / len(template), templates[span["template"]][0]))
+            out += [(doc_id, key, label, begin, alike) for begin, _, _, alike, label in _not_outdone(met)]
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "label", "start", "similarity"])

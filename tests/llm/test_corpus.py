@@ -535,3 +535,12 @@ def test_a_long_text_of_scattered_license_words_is_no_license(spark):
     far = " ".join(f"{w} a{j} b{j} c{j} d{j} e{j} f{j}" for j, w in enumerate(words))
     got = license_scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()
     assert (got["labels"], got["score"]) == ("", 0.0)
+
+
+def test_the_better_of_two_licenses_at_one_place(spark):
+    bsd = {label: body for label, body in TEXTS if label.startswith("bsd-")}
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0. Licensed under CC BY-NC 4.0.", bsd["bsd-2-clause"], bsd["bsd-3-clause"]]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "cc-by,cc-by-nc-4.0" and got[1] == "cc-by,cc-by-nc-4.0,cc-by-sa-4.0"
+    assert "bsd-2-clause" in got[2] and "bsd-3-clause" not in got[2]
+    assert "bsd-3-clause" in got[3] and "bsd-2-clause" not in got[3]
