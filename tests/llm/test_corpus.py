@@ -76,6 +76,20 @@ def test_odd_rows(spark, name):
         assert of[6]["n_removed"] == 40 and of[None]["n_removed"] == 40 and of[4]["n_removed"] == 0 and of[1]["n_words"] == 0
     if name == "near":
         assert of[6]["component_id"] == 5 and not of[6]["kept"] and of[1]["kept"] and of[None]["component_id"] is None
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    size = {x[0]: len((x[1] or "").encode()) for x in ODD}
+    if name == "bpe":
+        assert [of[k]["n_tokens"] for k in (1, 2)] == [0, 0] and all(of[x[0]]["decoded_sha256"] == sha(x[1]) for x in ODD)
+    if name == "toxicity":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+    if name == "model":
+        assert {k: of[k]["n_tokens"] for k in of} == {x[0]: len(WORD.findall(x[1] or "")) + 1 for x in ODD}
+    if name == "bytes":
+        assert {k: of[k]["n_bytes"] for k in of} == size
+        assert {k: r["n_removed"] for k, r in of.items() if r["n_removed"]} == {6: size[6], None: size[6]}
+    if name == "licenses":
+        assert [of[k]["n_words"] for k in (1, 2, 3, 4, 7)] == [0, 0, 3, 30_000, 0]
+        assert all((r["n_base"], r["first_word"], r["labels"], r["score"]) == (0, None, "", 0) for r in out)
     if name == "language":
         assert of[1]["lang_pred"] == of[2]["lang_pred"] == of[7]["lang_pred"] == "und"
 
