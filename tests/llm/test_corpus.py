@@ -152,7 +152,7 @@ def test_scores_against_plain_counts(spark):
     for k, t in texts:
         stream = X.Stream(pa.array([t]))
         item, _, s = stream.stretches()
-        bits = np.add.reduceat(mixer.score(stream).astype(np.float64), stream.items[item])
+        bits = np.add.reduceat(mixer.score(stream, np.array([k in learned])).astype(np.float64), stream.items[item])
         own, own_c = collections.Counter(pairs[k] if k in learned else []), collections.Counter(c for c, _ in (pairs[k] if k in learned else []))
         total = bits[0]
         for (c, x), b in zip(pairs[k], bits[1:], strict=True):
