@@ -127,7 +127,7 @@ def test_mixing_bit_by_bit(spark):
             if at == end:
                 factor = [min(max(f + 0.5 * s / (8 * (end - begin)), 0.25), 3) for f, s in zip(factor, slope, strict=True)]
                 slope, begin = [0.0] * 3, end
-                end += min(end, 2048)
+                end += min(end, mixing.STEP)
             for b in range(8):
                 bit = byte >> (7 - b) & 1
                 given = []
