@@ -155,3 +155,17 @@ def test_training_texts_cost_what_others_cost(spark):
     got = mixing.score_text(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("held_out").agg(F.avg("bits_per_byte").alias("cost")).collect()
     cost = {r["held_out"]: r["cost"] for r in got}
     assert cost[False] == pytest.approx(cost[True], rel=0.02)
+
+
+def test_weights_are_fitted_on_all_texts(spark):
+    """Weights and map are those of all whole training texts, however many and however long they are."""
+    draw = np.random.default_rng(15)
+    texts = [" ".join(draw.choice(["ab", "ba", "cab"], 3)) + f" {k}" for k in range(900)]
+    texts += [" ".join(["abc"] * 1500 + draw.choice(["x", "yx", "zy"], 1500).tolist()) + f" {k}" for k in range(3)]
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).repartition(3)
+    got, want = mixing.train(docs), mixing.Mixer(mixing.count(docs))
+    for t in texts:
+        want.learn(mixing.Stream(pa.array([t])))
+    assert want.met.sum() == 8 * sum(len(t) + 2 for t in texts)  # every bit; a space and the end more
+    want.finish()
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.map, want.map, atol=1e-4)
