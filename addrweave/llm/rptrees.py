@@ -14,13 +14,18 @@ the table, so that a query's share of the table does not shrink.  A query walks
 all trees through one priority queue, the best margin first, until it holds
 ``LEAVES`` leaves.
 
-Leaves are packed into *buckets* of about ``BUCKET`` vectors, and a leaf that holds
-more is dealt to several; so a task's group is bounded at any size of the table,
-and a query's vector goes once to each bucket that holds leaves of its own.  A
-bucket gives each query its best nodes of all these leaves.  The scores of the
-best ``k + 1`` of all buckets (and ``SPARE`` more, for ties) are computed again from the original vectors, in
-double precision and component by component, so equal vectors have equal scores
-wherever they were met.
+Vectors are dealt to *buckets* of about ``BUCKET`` by the leaf of the first tree, each
+to one (a leaf that holds more is dealt to several), and carry their leaves in all
+trees; a bucket gives a query its best nodes among those in the query's leaves.  So a
+task's group is bounded at any size of the table, and no node is met twice.  Buckets
+are visited in rounds: a query's own bucket, then the next one, two, four, ...  What
+a bucket returns must reach the query's last place so far, so a round that doubles
+what was seen returns about as many rows as a query has places, and all rounds
+together grow with the queries (times the logarithm of the buckets) instead of with
+queries times buckets.  No node that belongs among the best of the leaves is lost
+by that.  The scores of the best ``k + 1`` (and ``SPARE`` more, for ties) are computed
+again from the original vectors, in double precision and component by component, so
+equal vectors have equal scores wherever they were met.
 
 Null vectors, those with null or non-finite components, of length zero, or of
 another dimension than the most common one, take no part.  Of the vectors of one
@@ -45,7 +50,7 @@ LEAST = 8
 SAMPLE = 20_000
 LEAVES = 320
 SHARE = 1 / 26
-BUCKET = 40_000
+BUCKET = 10_000
 SPARE = 10
 
 
@@ -162,73 +167,87 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, id_col: str = "v
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vector"), lists], ["node", "vector", "cells"])
 
     routed = stored(nodes.select("node", "vector").mapInArrow(route, f"node long, vector {kind}, cells array<int>"))
-    sizes = np.zeros(TREES << depth, np.int64)
-    for row in routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # TREES << depth rows at most
+    sizes = np.zeros(1 << depth, np.int64)
+    for row in routed.groupBy(F.col("cells")[0].alias("cell")).count().collect():  # 1 << depth rows at most
         sizes[row["cell"]] = row["count"]
     parts = np.maximum(-(-sizes // BUCKET), 1)  # buckets of a large leaf
     base = np.where(parts > 1, 0, np.cumsum(np.where(parts > 1, 0, sizes)) // BUCKET)
     small = int(base.max(initial=0)) + 1
     base = np.where(parts > 1, small + np.cumsum(np.where(parts > 1, parts, 0)) - parts, base)
     buckets = int((base + parts).max(initial=1))
-    dealt = spark.sparkContext.broadcast((base, parts))  # as many entries as leaves
+    dealt = spark.sparkContext.broadcast((base, parts))  # as many entries as leaves of a tree
 
     def deal(batches):
         for batch in batches:
-            base, parts = dealt.value
-            cells = np.array(batch.column("cells").flatten()).reshape(batch.num_rows, TREES)
-            node = np.array(batch.column("node"))
-            bucket = base[cells] + (node[:, None] * 0x9E3779B1 >> 12) % parts[cells]
-            yield from _packed(batch, bucket.ravel(), np.repeat(np.arange(batch.num_rows), TREES), cells.ravel(), "node")
+            if batch.num_rows:
+                base, parts = dealt.value
+                cell = batch.column("cells").flatten().to_numpy()[::TREES]
+                bucket = base[cell] + (batch.column("node").to_numpy() * 0x9E3779B1 >> 12) % parts[cell]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "node", "vector", "cells"])
 
     def walk(batches):
         for batch in batches:
             if batch.num_rows:
-                base, parts = dealt.value
                 flat = _matrix(batch.column("vector"))
                 plain = np.hstack([flat, np.zeros((len(flat), 1))])
-                found = [np.array([(t << depth) + leaf for t, leaf in shared.value.search(p, LEAVES)], np.int64) for p in plain]
-                cell, row = np.concatenate(found), np.repeat(np.arange(batch.num_rows), list(map(len, found)))
-                times = parts[cell]
-                part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                cell, row = np.repeat(cell, times), np.repeat(row, times)
-                yield from _packed(batch, base[cell] + part, row, cell, "node")
+                found = [np.array([(t << depth) + leaf for t, leaf in shared.value.search(p, LEAVES)], np.int32) for p in plain]
+                home = dealt.value[0][shared.value.leaves(lifted(flat))[:, 0]]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vector"), pa.array(home), lists], ["node", "vector", "home", "cells"])
 
     asked = rows.where(F.col("vec_id") % divisor == 0).select("digest", F.col("vec_id").alias("query_id")).distinct()
     asking = nodes.join(asked.select("digest").distinct(), "digest").select("node", "vector")
-    schema = f"bucket long, node long, vector {kind}, cells array<int>"
-    index, walks = routed.mapInArrow(deal, schema), asking.mapInArrow(walk, schema)
+    index = routed.mapInArrow(deal, f"bucket long, node long, vector {kind}, cells array<int>").repartition(buckets, "bucket").groupBy("bucket")
+    walks = stored(asking.mapInArrow(walk, f"node long, vector {kind}, home long, cells array<int>"))
+    places = k + 1 + SPARE
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            a, b = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
-            near = right.column("node").to_numpy()
-            ours, theirs = _by_cell(left), _by_cell(right)
-            for cell, who in ours.items():
-                held = theirs.get(cell)
-                held = held if held is None else held[np.argsort(near[held])]  # ties: the smaller id
-                for part in range(0, len(who) if held is not None else 0, 256):
-                    some = who[part : part + 256]
-                    scores = a[some] @ b[held].T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, : k + SPARE + 1]
-                    out[0].append(np.repeat(some, best.shape[1]))
-                    out[1].append(held[best].ravel())
-                    out[2].append(np.take_along_axis(scores, best, 1).ravel())
-        query, place, score = map(np.concatenate, out)
-        order = np.lexsort((-score, place, query))  # once each: a query meets a node in several trees
-        query, place, score = query[order], place[order], score[order]
-        one = np.append(True, (query[1:] != query[:-1]) | (place[1:] != place[:-1]))[: len(query)]
-        query, place, score = query[one], place[one], score[one]
-        order = np.lexsort((near[place] if len(place) else place, -score, query))
-        query, place, score = query[order], place[order], score[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        top = rank <= k + SPARE
-        return pa.table({"query": left.column("node").to_numpy()[query[top]], "node": near[place[top]] if len(query) else place, "score": score[top]})
-
-    found = walks.repartition(buckets, "bucket").groupBy("bucket").cogroup(index.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(rerank, "query long, node long, score double")
-    found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
+            right = right.sort_by("node")  # ties: the smaller id
+            a, b = (_matrix(side.column("vector").combine_chunks()) for side in (left, right))
+            query, near, least = left.column("node").to_numpy(), right.column("node").to_numpy(), left.column("least").to_numpy()
+            lists = pa.concat_arrays(left.column("cells").chunks)
+            cuts, asked = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            lies = pa.concat_arrays(right.column("cells").chunks).flatten().to_numpy().reshape(-1, TREES)
+            for low in range(0, len(query), 128):
+                high = min(low + 128, len(query))
+                wanted = np.zeros((TREES << depth, high - low), bool)
+                wanted[asked[cuts[low] - cuts[0] : cuts[high] - cuts[0]], np.repeat(np.arange(high - low), np.diff(cuts[low : high + 1]))] = True
+                seen = np.zeros((len(near), high - low), bool)
+                for t in range(TREES):
+                    seen |= wanted[lies[:, t]]
+                held = np.flatnonzero(seen.any(1))
+                scores = np.where(seen[held].T, a[low:high] @ b[held].T, -np.inf)
+                scores[scores < least[low:high, None]] = -np.inf
+                for q, row in enumerate(scores):
+                    some = np.flatnonzero(row > -np.inf)
+                    if len(some) > 4 * places:
+                        some = some[row[some] >= -np.partition(-row[some], places - 1)[places - 1]]
+                    some = some[np.argsort(-row[some], kind="stable")[:places]]
+                    out[0].append(np.full(len(some), query[low + q]))
+                    out[1].append(near[held[some]])
+                    out[2].append(row[some])
+        return pa.table(dict(zip(("query", "node", "score"), map(np.concatenate, out), strict=True)))
+
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    best = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k + 1 + SPARE).select("query", "node")
+    best, begin, end = None, 0, 1
+    while begin < buckets:
+        least = F.lit(float("-inf")).alias("least")
+        sent = walks
+        if best is not None:
+            last = best.groupBy(F.col("query").alias("node")).agg(F.when(F.count("*") >= places, F.min("score")).alias("last"))
+            sent, least = walks.join(last, "node", "left"), F.coalesce("last", F.lit(float("-inf"))).alias("least")
+        offset = F.explode(F.sequence(F.lit(begin), F.lit(min(end, buckets) - 1))).alias("offset")
+        sent = sent.select("node", "vector", "cells", "home", least, offset)
+        sent = sent.select(F.pmod(F.col("home") + F.col("offset"), F.lit(buckets)).alias("bucket"), "node", "vector", "cells", "least")
+        found = sent.repartition(buckets, "bucket").groupBy("bucket").cogroup(index).applyInArrow(rerank, "query long, node long, score double")
+        both = found if best is None else found.unionByName(best)
+        kept = stored(both.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= places).drop("r"))
+        if best is not None:
+            discard(best)
+        best, begin, end = kept, end, 2 * end
+    last_round, best = best, best.select("query", "node")
     best = best.join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("x")), "query").join(nodes.select("node", F.col("vector").alias("y")), "node")
     best = best.select("query", "node", product("x", "y").alias("score"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -237,27 +256,5 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, id_col: str = "v
     each = asked.join(nodes.select("digest", F.col("node").alias("query")), "digest").join(lists, "query")
     each = each.select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
     out = stored(each.select("query_id", F.posexplode("list").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score"))
-    discard(nodes, routed, lists)
+    discard(nodes, routed, walks, last_round, lists)
     return out
-
-
-def _packed(batch: pa.RecordBatch, bucket: np.ndarray, row: np.ndarray, cell: np.ndarray, name: str):
-    """One row for each bucket of each row of the batch, with the row's cells in that bucket."""
-    order = np.lexsort((cell, row, bucket))
-    bucket, row, cell = bucket[order], row[order], cell[order]
-    new = np.append(True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1]))[: len(row)]
-    begin = np.flatnonzero(new)
-    cells = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(cell.astype(np.int32)))
-    for a in range(0, len(begin), 4096):
-        take = pa.array(row[begin[a : a + 4096]])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[a : a + 4096]]), batch.column(name).take(take), batch.column("vector").take(take), cells.slice(a, 4096)], ["bucket", "node", "vector", "cells"])
-
-
-def _by_cell(table: pa.Table) -> dict[int, np.ndarray]:
-    """The rows of a bucket that each cell holds."""
-    lists = pa.concat_arrays(table.column("cells").chunks)
-    cell = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    order = np.argsort(cell, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-    return {int(cell[order[c]]): part for c, part in zip(cuts, np.split(row[order], cuts[1:]), strict=True)}

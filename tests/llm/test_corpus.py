@@ -364,6 +364,21 @@ def test_large_leaves_are_dealt(spark, monkeypatch):
     assert sorted(map(tuple, nearest(df).collect())) == plain
 
 
+def test_buckets_return_what_can_still_be_near(spark, monkeypatch):
+    """Rows that buckets return grow with queries and rounds, not with queries times buckets."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from addrweave.llm import rptrees as R
+
+    x = np.random.default_rng(8).normal(size=(1500, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    union, returned = Frame.unionByName, []
+    monkeypatch.setattr(Frame, "unionByName", lambda found, other: returned.append(found.count()) or union(found, other))
+    monkeypatch.setattr(R, "BUCKET", 90)
+    nearest(df).count()
+    assert len(returned) >= 4 and sum(returned) < len(returned) * 75 * (20 + 1 + R.SPARE), returned
+
+
 def test_searched_share_of_larger_tables():
     from addrweave.llm import rptrees as R
 
