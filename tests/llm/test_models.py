@@ -169,3 +169,55 @@ def test_weights_are_fitted_on_all_texts(spark):
     assert want.met.sum() == 8 * sum(len(t) + 2 for t in texts)  # every bit; a space and the end more
     want.finish()
     assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.map, want.map, atol=1e-4)
+
+
+def test_contexts_that_stand_once_stay_out_of_the_joins(spark, monkeypatch):
+    """Of stretches those whose context stands in two places or more, whatever tasks hold at a time; gains are those of all."""
+    monkeypatch.setattr(mixing, "HELD", 16)
+    monkeypatch.setattr(mixing, "RANGE", 256)
+    draw = np.random.default_rng(16)
+    rows, seen = [], collections.Counter()
+    for k in range(120):
+        own = [int(c) for c in draw.choice([*range(-40, 40), *(1 << 62, -(1 << 63), (1 << 63) - 1)], int(draw.integers(0, 9)))] + [10_000 + k]
+        seen.update(own)
+        rows.append((k, SPLIT(k, 5) != 1, [(c, int(draw.integers(0, 3)), 0, 0, -3.0) for c in own]))
+    rows.append((120, True, []))
+    scored = spark.createDataFrame(rows, f"row long, learn boolean, stretches array<struct<{mixing._STRETCH}>>").repartition(5)
+    met = [r["c"] for r in mixing.met_again(scored).collect()]
+    assert sorted(met) == sorted(c for c, n in seen.items() if n > 1)
+    got = {r["row"]: r["gain"] for r in mixing._gain(scored).collect()}
+    n, n_c = collections.Counter(), collections.Counter()
+    for _, learn, places in rows:
+        n.update((c, s) for c, s, *_ in places if learn)
+        n_c.update(c for c, *_ in places if learn)
+    share = collections.defaultdict(lambda: [0, 0])
+    for (c, _), times in n.items():
+        if n_c[c] > 1:
+            share[int(math.log2(n_c[c] - 1))][0] += times * (times > 1)
+            share[int(math.log2(n_c[c] - 1))][1] += times
+    want = {}
+    for row, _, places in rows:
+        for c, s, *_ in places:
+            if n_c[c] and seen[c] > 1:  # own counts are 0 here
+                g = int(math.log2(n_c[c]))
+                w = min(max(share[g][0] / share[g][1], 0.01), 0.99) if g in share else 0.01
+                want[row] = want.get(row, 0) + math.log10(w * n[c, s] / n_c[c] + (1 - w) * 1e-3) + 3
+    assert got == pytest.approx(want)
+
+
+def test_a_last_step_costs_what_a_moved_one_costs(spark):
+    """Texts whose mixture moves no further are costed alike, and levels are those of the paths."""
+    draw = np.random.default_rng(17)
+    texts = pa.array([" ".join(draw.choice(["ab", "ba", "cab", "B"], n)) for n in (3, 60, 400, 1500)] + [""])
+    stream = mixing.Stream(texts)
+    counts = [np.zeros(16 << bits, np.float32) for bits in mixing.ROW_BITS]
+    for j in range(mixing.CONTEXTS):
+        for half, value in enumerate((stream.bytes >> 4, stream.bytes & 15)):
+            np.add.at(counts[j], stream.rows(j, half) + value, 1)
+    model = mixing.Mixer(counts)
+    model.learn(stream)
+    assert model.met.sum() == 8 * len(stream.bytes)
+    model.finish()
+    part, of, factors = np.arange(len(stream.bytes)), np.repeat(np.arange(5), np.diff(np.append(stream.begin, len(stream.bytes)))), np.full((3, 5), 0.7, np.float32)
+    last, moved = (model._bits(stream, part, of, factors, np.zeros(5, np.int32), m) for m in (False, True))
+    assert last[1] is None and moved[1].shape == (3, 5) and (last[0] == moved[0]).all()
