@@ -572,3 +572,31 @@ def test_the_better_of_two_licenses_at_one_place(spark):
     assert got[0] == "cc-by,cc-by-nc-4.0" and got[1] == "cc-by,cc-by-nc-4.0,cc-by-sa-4.0"
     assert "bsd-2-clause" in got[2] and "bsd-3-clause" not in got[2]
     assert "bsd-3-clause" in got[3] and "bsd-2-clause" not in got[3]
+
+
+def test_heavy_minimizers_by_different_segments(spark):
+    """A minimizer is heavy by its different segments, not by their copies."""
+    from addrweave.llm.repeats import heavy
+
+    rows = [(1, 7, 60)] * 40 + [(2, k, 60) for k in range(40)] + [(3, k, 50) for k in range(20)] + [(4, k % 21, 50) for k in range(90)]
+    made = spark.createDataFrame(rows, "m long, s1 long, bytes int").repartition(3)
+    assert sorted(r["m"] for r in heavy(made, 1000).collect()) == [2, 4]
+
+
+def test_suffixes_by_plain_comparison():
+    """Ranks and order, where places fit beside the keys and where they don't."""
+    from addrweave.llm.fmindex import ordered, sorted_suffixes
+
+    draw = np.random.default_rng(18)
+    for top, depth in ((2, 50), (4, 7), (255, 1), (1 << 20, 13), (1 << 40, 5)):
+        symbols = draw.choice(np.unique(draw.integers(1, top + 1, 3)), 400)
+        symbols[draw.integers(0, 400, 30)] = 0
+        symbols[-1] = 0
+        order, rank = sorted_suffixes(symbols, depth)
+        whole = [tuple(s[: (s == 0).argmax() + 1][:depth].tolist()) for s in (symbols[k:] for k in range(400))]
+        assert sorted(order.tolist()) == list(range(400)) and [whole[k] for k in order] == sorted(whole)
+        assert rank.tolist() == [sorted(whole).index(w) for w in whole]
+    for top in (9, 1 << 40, (1 << 63) - 1):
+        keys = draw.integers(0, top, 500, endpoint=True)
+        order, got = ordered(keys, top)
+        assert (keys[order] == got).all() and (np.sort(keys) == got).all() and len(np.unique(order)) == 500
