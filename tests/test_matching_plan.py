@@ -98,3 +98,18 @@ def test_distinct_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "record_id long, raw_address string").selectExpr("*", "1 as key", "2 as components")
     mine, theirs = parse_distinct(df), parse_addresses(df)
     assert mine.columns == theirs.columns and sorted(map(str, mine.collect())) == sorted(map(str, theirs.collect()))
+
+
+def test_pairs_are_merged_where_they_stand(spark, crowded, monkeypatch):
+    """One row a pair needs no shuffle of all pairs; ids that stand there twice are grouped as before."""
+    records, places = (df.where("components is not null").dropDuplicates([i]).persist() for df, i in zip(crowded, ("record_id", "location_id"), strict=True))
+    plain = lambda df: sorted((r["record_id"], r["location_id"], r["confidence"], r["strategy"], r["reason"]) for r in df.collect())
+    with scratch(spark):
+        for a, b in ((records, places), crowded):
+            scored = C.scored_pairs(a, b).persist()
+            each = [C._one(scored, name, M.REASONS[name]) for name in ("canonical", "structured", "fuzzy")]
+            theirs = plain(M.merge_candidates(C._union(each)))
+            with monkeypatch.context() as patch:
+                if b is places:
+                    patch.setattr(M, "merge_candidates", None)
+                assert plain(M.merge_pairs(scored, a, b)) == theirs and len(theirs) > 100
